@@ -9,6 +9,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from webframe.functions.common import col_of, let
+
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _SPLIT = r"^(?:([a-zA-Z][a-zA-Z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?"
 
@@ -52,10 +54,6 @@ TRANSIENT_ERROR = (
 PERMANENT_WORDS = ("类型不符", "完整性校验", "超过大小上限")
 
 
-def col_of(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
-
-
 def url_part(c, part: str) -> Column:
     """``scheme``, ``netloc``, ``path``, ``query`` or ``fragment`` ('' when missing)."""
     group = {"scheme": 1, "netloc": 2, "path": 3, "query": 4, "fragment": 5}[part]
@@ -94,56 +92,77 @@ def _clean_path(path: Column, rooted: Column) -> Column:
     return F.when(out.startswith("/"), out).otherwise(F.concat(F.lit("/"), out))
 
 
-def resolve_url(base, rel) -> Column:
-    """Join *rel* to *base* by RFC 3986; dot segments cost work only where they occur."""
-    base = F.coalesce(col_of(base), F.lit(""))
-    rel = col_of(rel)
-    scheme, net = url_part(base, "scheme"), url_part(base, "netloc")
-    root = F.concat(scheme, F.lit("://"), net)
-    rel_path = url_part(rel, "path")
-    rest = F.substring(rel, F.length(rel_path) + 1, F.length(rel))
-    base_path = url_part(base, "path")
-    base_query = url_part(base, "query")
-    folder = F.regexp_extract(base_path, r"^(.*/)", 1)
+_ROOT = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
+
+
+def _resolve(base: Column, rel: Column) -> Column:
+    root = F.regexp_extract(base, _ROOT, 1)
+    folder = F.regexp_extract(base, _ROOT + r"(/(?:[^?#]*/)?)", 2)
     folder = F.when(folder == "", "/").otherwise(folder)
-    joined = F.when(rel_path.startswith("/"), rel_path).otherwise(F.concat(folder, rel_path))
-    tidy = F.when(joined.rlike(r"(^|/)\.\.?(/|$)|//"), _clean_path(joined, rel_path.startswith("/"))).otherwise(joined)
+    path = F.regexp_extract(rel, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(rel, r"^[^?#]*([\s\S]*)$", 1)
+    rooted = rel.startswith("/")
     return (
         F.when(base == "", rel)
         .when(rel == "", base)
         .when(rel.rlike(_SCHEME), rel)
-        .when(rel.startswith("//"), F.concat(scheme, F.lit(":"), rel))
-        .when(
-            rel.startswith("#"),
-            F.concat(root, base_path, F.when(base_query != "", F.concat(F.lit("?"), base_query)).otherwise(""), rel),
+        .when(rel.startswith("//"), F.concat(F.regexp_extract(base, r"^([^:/?#]*:)", 1), rel))
+        .when(rel.startswith("#"), F.concat(F.regexp_extract(base, r"^([^#]*)", 1), rel))
+        .when(rel.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), rel))
+        .when(rooted & ~path.rlike(r"/\.\.?(/|$)"), F.concat(root, rel))
+        .when(~rooted & ~path.rlike(r"(^|/)\.\.?(/|$)|//"), F.concat(root, folder, rel))
+        .otherwise(
+            F.concat(
+                root,
+                let(
+                    F.when(rooted, path).otherwise(F.concat(folder, path)),
+                    lambda p: _clean_path(p, rooted),
+                ),
+                rest,
+            )
         )
-        .when(rel.startswith("?"), F.concat(root, base_path, rel))
-        .otherwise(F.concat(root, tidy, rest))
     )
 
 
+def resolve_url(base, rel) -> Column:
+    """Join *rel* to *base* by RFC 3986; dot segments cost work only where they occur."""
+    pair = F.struct(F.coalesce(col_of(base), F.lit("")).alias("b"), col_of(rel).alias("r"))
+    return let(pair, lambda s: _resolve(s["b"], s["r"]))
+
+
 def is_link_name(name: str) -> bool:
     return re.search(URLISH_FIELD, name) is not None
 
 
 def absolutize(value, base) -> Column:
     """Site-relative values (exactly one leading '/') become absolute; all else is kept."""
-    value, base = col_of(value), F.coalesce(col_of(base), F.lit(""))
-    v = F.trim(value)
-    local = v.startswith("/") & ~v.startswith("//") & (base != "")
-    return F.when(local, resolve_url(base, v)).otherwise(value)
+    pair = F.struct(F.coalesce(col_of(base), F.lit("")).alias("b"), col_of(value).alias("v"))
+
+    def fix(s: Column) -> Column:
+        v = F.trim(s["v"])
+        local = v.startswith("/") & ~v.startswith("//") & (s["b"] != "")
+        return F.when(local, _resolve(s["b"], v)).otherwise(s["v"])
+
+    return let(pair, fix)
 
 
 def absolute_media_url(base, candidate) -> Column:
-    c = F.trim(F.coalesce(col_of(candidate), F.lit("")))
-    scheme = url_part(base, "scheme")
-    return (
-        F.when((c == "") | c.startswith("data:"), "")
-        .when(c.rlike("^https?://"), c)
-        .when(c.startswith("//"), F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"), c))
-        .otherwise(resolve_url(base, c))
+    pair = F.struct(
+        F.coalesce(col_of(base), F.lit("")).alias("b"),
+        F.trim(F.coalesce(col_of(candidate), F.lit(""))).alias("c"),
     )
 
+    def fix(s: Column) -> Column:
+        c, scheme = s["c"], url_part(s["b"], "scheme")
+        return (
+            F.when((c == "") | c.startswith("data:"), "")
+            .when(c.rlike("^https?://"), c)
+            .when(c.startswith("//"), F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"), c))
+            .otherwise(_resolve(s["b"], c))
+        )
+
+    return let(pair, fix)
+
 
 def url_slug(c) -> Column:
     """Folder name of a URL: host, path and a short digest of the query."""
@@ -176,14 +195,18 @@ def safe_filename(url, fallback_ext: str = ".bin") -> Column:
     name = F.element_at(F.split(F.regexp_replace(url_part(url, "path"), "/+$", ""), "/"), -1)
     name = F.regexp_replace(name, r"(?U)[^\w.\-]+", "_")
     name = F.regexp_replace(name, r"^[._]+|[._]+$", "")
-    digest = F.substring(F.md5(url), 1, 10)
-    ext = F.regexp_extract(name, r"\.[A-Za-z0-9]{1,5}$", 0)
-    stem = F.substring(name, F.lit(1), F.length(name) - F.length(ext))
-    return (
-        F.when(name == "", F.concat(digest, F.lit(fallback_ext)))
-        .when((ext != "") & (stem != ""), F.concat(F.substring(stem, 1, 60), F.lit("_"), digest, F.lower(ext)))
-        .otherwise(F.concat(F.substring(name, 1, 60), F.lit("_"), digest, F.lit(fallback_ext)))
-    )
+
+    def build(n: Column) -> Column:
+        digest = F.substring(F.md5(url), 1, 10)
+        ext = F.regexp_extract(n, r".(\.[A-Za-z0-9]{1,5})$", 1)
+        stem = F.substring(n, F.lit(1), F.least(F.lit(60), F.length(n) - F.length(ext)))
+        return (
+            F.when(n == "", F.concat(digest, F.lit(fallback_ext)))
+            .when(ext != "", F.concat(stem, F.lit("_"), digest, F.lower(ext)))
+            .otherwise(F.concat(F.substring(n, 1, 60), F.lit("_"), digest, F.lit(fallback_ext)))
+        )
+
+    return let(name, build)
 
 
 def guess_extension(content_type, url, default: str = ".bin") -> Column:

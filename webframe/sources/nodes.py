@@ -242,15 +242,15 @@ def build_tree(source: str) -> _Tree:
 class _Batch:
     """Collects element rows and turns them into Arrow batches column by column."""
 
-    def __init__(self, columns: Sequence[str], tags: frozenset | None, schema: pa.Schema) -> None:
-        self.columns, self.tags, self.schema = columns, tags, schema
+    def __init__(self, columns: Sequence[str], tags: frozenset | None, carry: Sequence[str], schema: pa.Schema) -> None:
+        self.columns, self.tags, self.carry, self.schema = columns, tags, carry, schema
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, list] = {c: [] for c in ("page_id", *self.columns)}
+        self.rows: dict[str, list] = {c: [] for c in ("page_id", *self.carry, *self.columns)}
         self.size = 0
 
-    def add(self, page_id: int, source: str, tree: _Tree) -> None:
+    def add(self, page_id: int, carried: tuple, source: str, tree: _Tree) -> None:
         want, rows = set(self.columns), self.rows
         tags, parent = tree.tag, tree.parent
         n = len(tags)
@@ -289,6 +289,8 @@ class _Batch:
                 paths[i] = seg if up < 0 else paths[up] + "/" + seg
                 ancestors[i] = [] if up < 0 else ancestors[up] + [up]
         rows["page_id"].extend([page_id] * len(keep))
+        for c, v in zip(self.carry, carried):
+            rows[c].extend([v] * len(keep))
         chars = 0
         simple = {
             "node_id": lambda i: i, "end_id": tree.end.__getitem__, "parent_id": parent.__getitem__,
@@ -343,8 +345,7 @@ def html_nodes(
     pages: DataFrame,
     columns: Sequence[str] | None = None,
     tags: Sequence[str] | None = None,
-    key: str = "page_id",
-    html: str = "html",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Element rows of every page, in document order of ``node_id``.
 
@@ -352,35 +353,45 @@ def html_nodes(
     Catalyst cannot push either through the Arrow worker, so callers name what
     they read and nothing else is built or shipped to the JVM. Subtree columns
     are offered as counts (``n_links``, ``n_imgs``, ``text_len``) so that most
-    operators never need the text of large elements.
+    operators never need the text of large elements. ``carry`` repeats string
+    columns of the page (its ``url``) on every row, which saves a join later.
 
     A page whose markup cannot be read gives one row with tag ``#error``.
     """
     chosen = [c for c in NODE_FIELDS if c in set(columns)] if columns is not None else [
         c for c in NODE_FIELDS if c not in ("inner_html", "outer_html")
     ]
-    schema = pa.schema([pa.field("page_id", pa.int64())] + [pa.field(c, _ARROW[NODE_FIELDS[c]]) for c in chosen])
-    ddl = "page_id bigint, " + ", ".join(f"{c} {NODE_FIELDS[c]}" for c in chosen)
+    carry = tuple(carry)
+    schema = pa.schema(
+        [pa.field("page_id", pa.int64())]
+        + [pa.field(c, pa.string()) for c in carry]
+        + [pa.field(c, _ARROW[NODE_FIELDS[c]]) for c in chosen]
+    )
+    ddl = ", ".join(
+        ["page_id bigint"] + [f"{c} string" for c in carry] + [f"{c} {NODE_FIELDS[c]}" for c in chosen]
+    )
     wanted = frozenset(tags) if tags is not None else None
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Batch(chosen, wanted, schema)
+        out = _Batch(chosen, wanted, carry, schema)
         for batch in batches:
-            for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1)):
+            extra = [batch.column(i + 2).to_pylist() for i in range(len(carry))]
+            for at, (page_id, source) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
                 text = source.as_py()
                 if not text:
                     continue
+                carried = tuple(e[at] for e in extra)
                 try:
-                    out.add(page_id, text, build_tree(text))
+                    out.add(page_id, carried, text, build_tree(text))
                 except (RecursionError, ValueError, IndexError, KeyError) as exc:
                     bad = _Tree()
                     bad.push("#error", {}, 0, 0)
                     bad.text(f"{type(exc).__name__}: {exc}")
                     bad.pop(0, 0)
-                    out.add(page_id, text, bad)
+                    out.add(page_id, carried, text, bad)
                 if out.size > BATCH_BYTES:
                     yield out.emit()
         if out.rows["page_id"]:
             yield out.emit()
 
-    return pages.select(key, html).mapInArrow(parse, ddl)
+    return pages.select("page_id", "html", *carry).mapInArrow(parse, ddl)
