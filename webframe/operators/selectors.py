@@ -1,7 +1,7 @@
 """CSS and XPath selectors as Columns over element rows.
 
 A node row carries ``path``, its own and all ancestor segments as
-``tag#id.class:nth`` joined by '/'. A selector therefore is one regular
+``tag#id.class:nth`` joined by '/' (with '!' where it is the only one of its type). A selector therefore is one regular
 expression on one string column plus attribute tests on the row itself; no
 join and no UDF is needed. Only selectors that test an attribute of an
 *ancestor* need a join, see ``select_nodes``.
@@ -20,7 +20,7 @@ from webframe.sources.nodes import escape_token
 
 _ANY_SEG = r"[^/]+"
 _SIMPLE = re.compile(
-    r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>(?:\\.|[\w\u0080-\uffff-])+)|\.(?P<cls>(?:\\.|[\w\u0080-\uffff-])+)
+    r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>(?:\\[0-9a-fA-F]{6}|\\.|[\w\u0080-\uffff-])+)|\.(?P<cls>(?:\\[0-9a-fA-F]{6}|\\.|[\w\u0080-\uffff-])+)
     |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^$*~]?=)\s*(?P<val>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\s\]]+)\s*(?P<ci>[iI])?\s*)?\]
     |:nth-of-type\(\s*(?P<nth>\d+)\s*\)|:is\((?P<alts>[^()]*)\)""",
     re.X,
@@ -58,7 +58,7 @@ def is_xpath(selector: str) -> bool:
 
 
 def _unescape(name: str) -> str:
-    name = re.sub(r"\\([0-9a-fA-F]{1,6})\s?", lambda m: chr(int(m[1], 16)), name)
+    name = re.sub(r"\\([0-9a-fA-F]{6})", lambda m: chr(int(m[1], 16)), name)
     return re.sub(r"\\(.)", r"\1", name)
 
 
@@ -183,7 +183,7 @@ def _seg(c: Compound) -> str:
     look = "".join(rf"(?=[^/]*#{re.escape(escape_token(i))}[.:])" for i in c.ids)
     look += "".join(rf"(?=[^/]*\.{re.escape(escape_token(k))}[.:])" for k in c.classes)
     if c.nth is not None:
-        look += rf"(?=[^/]*:{c.nth}(?:/|$))"
+        look += rf"(?=[^/]*:{c.nth}!?(?:/|$))"
     if c.alts:
         look += "(?=" + "|".join(_seg(a) for a in c.alts) + ")"
     head = re.escape(c.tag) + r"(?=[#.:])" if c.tag else ""

@@ -50,7 +50,7 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_STRUCTURAL = re.compile(r"[/#.:%\s]")
+_STRUCTURAL = re.compile(r"[/#.:!% \t\r\n\f]")
 
 
 def escape_token(name: str) -> str:
@@ -284,7 +284,7 @@ class _Batch:
                     seg += "#" + escape_token(a["id"])
                 if a.get("class"):
                     seg += "".join("." + escape_token(c) for c in a["class"].split())
-                seg += ":%d" % nth[i]
+                seg += ":%d" % nth[i] if per_type[(parent[i], tags[i])] > 1 else ":1!"
                 up = parent[i]
                 paths[i] = seg if up < 0 else paths[up] + "/" + seg
                 ancestors[i] = [] if up < 0 else ancestors[up] + [up]
