@@ -116,6 +116,10 @@ def _at(body: Column, *keys: str) -> Column:
     return F.get_json_object(body, "$" + "".join(f".{k}" for k in keys))
 
 
+def _member(body: Column, key: Column) -> Column:
+    return F.call_function("get_json_object", body, F.concat(F.lit("$."), key))
+
+
 def guess_item_path(body: Column) -> Column:
     """Where the records of a response sit, as a JSONPath."""
 
@@ -129,7 +133,7 @@ def guess_item_path(body: Column) -> Column:
 
     def first_array(b: Column) -> Column:
         def one(k: Column) -> Column:
-            v = F.get_json_object(b, F.concat(F.lit("$."), k))
+            v = _member(b, k)
             return F.when(v.startswith("["), F.concat(F.lit("$."), k, F.lit("[*]"))).when(
                 v.startswith("{"),
                 F.get(
@@ -137,7 +141,7 @@ def guess_item_path(body: Column) -> Column:
                         F.transform(
                             F.json_object_keys(v),
                             lambda i: F.when(
-                                F.get_json_object(v, F.concat(F.lit("$."), i)).startswith("["),
+                                _member(v, i).startswith("["),
                                 F.concat(F.lit("$."), k, F.lit("."), i, F.lit("[*]")),
                             ),
                         )
@@ -179,21 +183,15 @@ def guess_json_rule(captures: DataFrame, per: Sequence[str] = ("id",)) -> DataFr
         src = largest_json(src, per)
     body = F.col("body_json")
     rec = src.select(*per, "url", guess_item_path(body).alias("item_selector"), _first_record(F.trim(body)).alias("_rec"))
-    value = lambda k: F.get_json_object("_rec", F.concat(F.lit("$."), k))
-    numeric = r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"
+    members = F.map_entries(F.from_json("_rec", "map<string,variant>"))
     fields = F.transform(
-        F.slice(F.coalesce(F.json_object_keys("_rec"), F.array().cast("array<string>")), 1, MAX_GUESSED_FIELDS),
-        lambda k: F.struct(
-            k.alias("name"),
-            F.concat(F.lit("$."), k).alias("selector"),
+        F.slice(F.coalesce(members, F.array().cast("array<struct<key:string,value:variant>>")), 1, MAX_GUESSED_FIELDS),
+        lambda m: F.struct(
+            m["key"].alias("name"),
+            F.concat(F.lit("$."), m["key"]).alias("selector"),
             F.lit(None).cast("string").alias("attribute"),
-            F.array(F.when(value(k).rlike(numeric) & ~_quoted(F.col("_rec"), k), "float").otherwise("strip")).alias("transform"),
+            F.array(F.when(F.schema_of_variant(m["value"]).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)"), "float").otherwise("strip")).alias("transform"),
         ),
     )
     return rec.select(*per, "url", F.lit("json").alias("mode"), "item_selector", fields.alias("fields"))
 
-
-def _quoted(record: Column, key: Column) -> Column:
-    """Is the member written as a JSON text (``"5"``) rather than a number?"""
-    kind = F.schema_of_variant(F.try_parse_json(record))
-    return F.contains(F.lower(kind), F.concat(F.lower(key), F.lit(": string")))
