@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from webframe.functions.common import col_of, let
+from webframe.functions.matching import first_letters
 from webframe.functions.urls import url_part
 
 # What speaks for and against a media address.
@@ -45,11 +46,13 @@ MOOV_BUDGET = 6 * 1024 * 1024
 def media_url_ok(url) -> Column:
     """Neither a known non-media file nor a client, statistics or ad address."""
     u = col_of(url)
-    return ~u.rlike(NOT_MEDIA) & ~u.rlike(NOISE)
+    return ~u.rlike(NOT_MEDIA) & ~u.rlike(first_letters(NOISE))
 
 
 def media_score(url, field="") -> Column:
-    pair = F.struct(F.coalesce(col_of(url), F.lit("")).alias("u"), F.coalesce(field if isinstance(field, Column) else F.lit(field), F.lit("")).alias("f"))
+    """How much an address looks like playable media; 0 or less means it does not."""
+    field = field if isinstance(field, Column) else F.lit(field)
+    pair = F.struct(F.coalesce(col_of(url), F.lit("")).alias("u"), F.coalesce(field, F.lit("")).alias("f"))
 
     def score(s: Column) -> Column:
         u, f = s["u"], s["f"]
@@ -58,7 +61,7 @@ def media_score(url, field="") -> Column:
             part(u.rlike(MEDIA_EXT), 60) + part(url_part(u, "path").rlike(URLISH_PATH), 25)
             + part(f.rlike(FIELD_HINT), 20) + part(f.rlike(FIELD_NOISE), -15) + part(u.startswith("https://"), 2)
         )
-        return F.when(u.rlike(NOT_MEDIA), 0).when(u.rlike(NOISE), -50).when(F.length(u) < 16, 0).otherwise(total)
+        return F.when(u.rlike(NOT_MEDIA), 0).when(u.rlike(first_letters(NOISE)), -50).when(F.length(u) < 16, 0).otherwise(total)
 
     return let(pair, score)
 

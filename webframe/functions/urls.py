@@ -233,15 +233,25 @@ def _decode(c: Column, plus_is_space: bool) -> Column:
 
 def inner_urls(c) -> Column:
     """http(s) URLs carried in the known query parameters, by parameter order."""
-    c = col_of(c)
-    pairs = F.split(url_part(c, "query"), "&")
-
-    def values(name: str) -> Column:
-        own = F.filter(pairs, lambda p: p.startswith(name + "="))
-        return F.transform(own, lambda p: _decode(_decode(F.substring(p, len(name) + 2, 1 << 30), True), False))
+    names = F.array(*[F.lit(n) for n in INNER_URL_PARAMS])
+
+    def unpack(u: Column) -> Column:
+        pairs = F.transform(
+            F.split(url_part(u, "query"), "&"),
+            lambda p, i: F.struct(
+                F.array_position(names, F.split_part(p, F.lit("="), F.lit(1))).alias("at"), i.alias("i"), p.alias("p")
+            ),
+        )
+        known = F.array_sort(F.filter(pairs, lambda p: (p["at"] > 0) & p["p"].contains("=")))
+        values = F.transform(
+            known, lambda p: _decode(_decode(F.substring(p["p"], F.instr(p["p"], F.lit("=")) + 1, F.length(p["p"])), True), False)
+        )
+        return F.filter(values, lambda v: v.rlike("^https?://") & (v != u))
 
-    found = F.concat(*[values(n) for n in INNER_URL_PARAMS])
-    return F.filter(found, lambda u: u.rlike("^https?://") & (u != c))
+    return let(
+        F.coalesce(col_of(c), F.lit("")),
+        lambda u: F.when(u.contains("="), unpack(u)).otherwise(F.array().cast("array<string>")),
+    )
 
 
 def url_changed(requested, final) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from webframe.functions import text as T
 from webframe.functions.common import let
+from webframe.functions.matching import found, prepared
 from webframe.functions.urls import url_changed
 from webframe.operators import selectors as S
 
@@ -116,22 +117,26 @@ def keyword_hits(text, status=None) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     ok = F.coalesce((F.col(status) >= 200) & (F.col(status) < 300), F.lit(False)) if status else F.lit(False)
 
-    def rules(t: Column) -> Column:
+    def rules(s: Column) -> Column:
         out = []
         for pattern, label, kind, weight in KEYWORDS:
-            hit = t.rlike("(?iuU)" + pattern)
+            hit = found(s, pattern)
             if label == "server_5xx":
                 hit = hit & ~ok
             out.append(F.when(hit, F.struct(F.lit(label).alias("label"), F.lit(kind).alias("kind"), F.lit(weight).alias("weight"))))
         return F.array_compact(F.array(*out))
 
-    return let(F.coalesce(text, F.lit("")), rules)
+    text = F.coalesce(text, F.lit(""))
+    return let(prepared(text), rules)
 
 
 def block_hits(text) -> Column:
     """Labels of the block-page patterns a text shows."""
     text = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return let(text, lambda t: F.array_compact(F.array(*[F.when(t.rlike("(?iu)" + p), F.lit(label)) for p, label in BLOCK_PATTERNS])))
+    return let(
+        prepared(text),
+        lambda s: F.array_compact(F.array(*[F.when(found(s, p, "(?iu)"), F.lit(label)) for p, label in BLOCK_PATTERNS])),
+    )
 
 
 def _scores(points: Column) -> Column:

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webframe.functions.common import col_of, let
@@ -33,23 +33,42 @@ def sniff_media_urls(
     once per run, where it is first found.
     """
     run = list(run)
-    leaf = F.when(F.col("body_json").isNotNull(), F.col("body_json")).otherwise("")
-    from_json = captures.where(F.col("body_json").isNotNull()).select(
-        *run, "id", F.col("url").alias("source_url"), F.posexplode(flatten_json(leaf)).alias("pos", "l")
-    ).where(F.col("l.is_text")).select(*run, "id", "source_url", "pos", F.col("l.path").alias("field"), F.trim("l.value").alias("url"))
-    from_text = captures.where(F.col("body_json").isNull() & F.coalesce(F.col("body_text") != "", F.lit(False))).select(
-        *run, "id", F.col("url").alias("source_url"),
-        F.posexplode(F.regexp_extract_all("body_text", F.lit(TEXT_URL), 0)).alias("pos", "url"),
-    ).select(*run, "id", "source_url", "pos", F.lit("(text)").alias("field"), "url")
-    found = from_json.unionByName(from_text).where(F.col("url").rlike("^https?://"))
-    found = found.withColumn("score", media_score("url", F.col("field"))).withColumn("depth", F.lit(0))
-    inner = found.where(F.col("score") >= min_score).select(
-        *run, "id", "source_url", "pos", F.concat("field", F.lit(" (inner)")).alias("field"), F.explode(inner_urls("url")).alias("url"), F.col("field").alias("_f")
+    leaf = "struct<path:string,value:string,is_text:boolean>"
+    from_json = F.filter(
+        flatten_json(F.col("body_json")), lambda v: v["is_text"] & v["value"].rlike(r"^\s*https?://")
     )
-    inner = inner.withColumn("score", media_score("url", F.col("_f"))).where(F.col("score") >= min_score).drop("_f").withColumn("depth", F.lit(1))
-    rest = [c for c in found.columns if c not in run]
-    key = F.split_part("url", F.lit("#"), F.lit(1))
-    first = found.where((F.col("score") >= min_score) | (F.col("score") < 0)).unionByName(inner).withColumn("_key", key)
+    from_text = F.transform(
+        F.regexp_extract_all("body_text", F.lit(TEXT_URL), 0),
+        lambda u: F.struct(F.lit("(text)").alias("path"), u.alias("value"), F.lit(True).alias("is_text")),
+    )
+    leaves = F.when(F.col("body_json").isNotNull(), from_json).when(F.col("body_text").contains("://"), from_text)
+
+    # scored and filtered inside the array: a filter on exploded columns would be
+    # pushed below and score every address several times
+    def scored(u: Column, path: Column, depth: int, label: Column) -> Column:
+        return F.struct(u.alias("url"), label.alias("field"), media_score(u, path).alias("score"), F.lit(depth).alias("depth"))
+
+    def candidates(v: Column) -> Column:
+        url = F.trim(v["value"])
+
+        def with_inner(own: Column) -> Column:
+            label = F.concat(v["path"], F.lit(" (inner)"))
+            nested = F.filter(F.transform(inner_urls(own["url"]), lambda u: scored(u, v["path"], 1, label)), lambda x: x["score"] >= min_score)
+            none = F.array().cast("array<struct<url:string,field:string,score:int,depth:int>>")
+            return (
+                F.when(own["score"] >= min_score, F.concat(F.array(own), nested))
+                .when(own["score"] < 0, F.array(own))
+                .otherwise(none)
+            )
+
+        return let(scored(url, v["path"], 0, v["path"]), with_inner)
+
+    leaves = leaves.cast(f"array<{leaf}>")
+    both = captures.select(
+        *run, "id", F.col("url").alias("source_url"), F.posexplode(F.flatten(F.transform(leaves, candidates))).alias("pos", "c")
+    ).select(*run, "id", "source_url", "pos", "c.field", "c.url", "c.score", "c.depth")
+    rest = [c for c in both.columns if c not in run]
+    first = both.withColumn("_key", F.split_part("url", F.lit("#"), F.lit(1)))
     first = first.groupBy(*run, "_key").agg(F.min_by(F.struct(*rest), F.struct("id", "pos", "depth")).alias("r")).select(*run, "r.*")
     return top_per_key(
         first.where(F.col("score") >= min_score), run, [F.desc("score"), F.length("url"), F.col("url")], limit

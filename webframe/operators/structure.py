@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webframe.functions.common import col_of, let
+from webframe.functions.matching import found, prepared
 from webframe.operators import selectors as S
 from webframe.plans.lineage import cut
 
@@ -91,18 +92,23 @@ def _dotted(classes: Column) -> Column:
 
 # ---- path segments -----------------------------------------------------------
 
-def _segments(path: Column) -> Column:
-    """Segments from the node upwards as ``struct(tag, id, nth, only, toks)``."""
-    return F.transform(
-        F.reverse(F.split(path, "/")),
-        lambda s: F.struct(
-            F.regexp_extract(s, r"^([^#.:]+)", 1).alias("tag"),
-            F.regexp_extract(s, r"#([^.:]+)", 1).alias("id"),
-            F.regexp_extract(s, r":(\d+)", 1).alias("nth"),
+def _segments(path: Column, classes: bool = True) -> Column:
+    """Segments from the node upwards as ``struct(tag, id, nth, only[, cls])``."""
+    first = lambda s, sep: F.substring_index(s, sep, 1)
+
+    def one(s: Column) -> Column:
+        head = first(s, ":")
+        parts = [
+            first(first(head, "."), "#").alias("tag"),
+            F.when(head.contains("#"), first(F.substring_index(head, "#", -1), ".")).otherwise("").alias("id"),
+            F.replace(F.substring_index(s, ":", -1), F.lit("!"), F.lit("")).alias("nth"),
             s.endswith("!").alias("only"),
-            F.regexp_extract_all(s, F.lit(r"\.([^.:]+)"), 1).alias("cls"),
-        ),
-    )
+        ]
+        if classes:
+            parts.append(F.slice(F.split(head, r"\."), F.lit(2), F.length(s)).alias("cls"))
+        return F.struct(*parts)
+
+    return F.transform(F.reverse(F.split(path, "/")), one)
 
 
 def _decode(c: Column) -> Column:
@@ -121,7 +127,7 @@ def unique_selector(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         F.map_entries("attrs"), lambda e: e["key"].startswith("data-") & (e["value"] != "") & (e["key"] != "data-v")
     )
     chain = F.transform(
-        F.slice(F.filter(_segments(F.col("path")), lambda s: ~s["tag"].isin("html", "body")), 1, MAX_CHAIN),
+        F.slice(F.filter(_segments(F.col("path"), False), lambda s: ~s["tag"].isin("html", "body")), 1, MAX_CHAIN),
         lambda s, i: F.struct(
             s["tag"].alias("tag"), s["id"].alias("id"),
             F.when(s["only"], "").otherwise(s["nth"]).alias("nth"), (i == 0).alias("self"),
@@ -131,7 +137,9 @@ def unique_selector(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         "page_id", F.col("node_id").alias("t_id"), "tag", F.col("elem_id").alias("t_elem"),
         selector_classes("classes").alias("t_cls"), data.alias("t_data"), chain.alias("t_chain"),
     )
-    m = nodes.select("page_id", "node_id", "tag", "classes", "attrs", _segments(F.col("path")).alias("segs"))
+    # only elements that share a tag with a target of their page are taken apart
+    like = nodes.join(t.select("page_id", "tag").distinct(), ["page_id", "tag"], "left_semi")
+    m = like.select("page_id", "node_id", "tag", "classes", "attrs", _segments(F.col("path"), False).alias("segs"))
     pairs = t.join(m, ["page_id", "tag"]).where(F.col("node_id") != F.col("t_id"))
 
     def same(tc: Column, ms: Column) -> Column:
@@ -334,16 +342,16 @@ def semantic_name(href, text, context, fallback) -> Column:
     """Readable column name by the ordered rules, else *fallback*."""
     probe = F.lower(F.concat_ws(" ", F.coalesce(col_of(href), F.lit("")), F.coalesce(col_of(text), F.lit("")), F.coalesce(col_of(context), F.lit(""))))
 
-    def pick(p: Column) -> Column:
-        out = F.when(p.rlike("(?i)" + SEMANTIC_RULES[0][0]), SEMANTIC_RULES[0][1])
+    def pick(s: Column) -> Column:
+        out = F.when(found(s, SEMANTIC_RULES[0][0], "(?i)"), SEMANTIC_RULES[0][1])
         for pattern, name in SEMANTIC_RULES[1:]:
-            hit = p.rlike("(?i)" + pattern)
+            hit = found(s, pattern, "(?i)")
             if name == "duration":  # a bare clock time is meant to match by the text alone
                 hit = hit | F.coalesce(F.trim(col_of(text)).rlike(r"^\d{1,2}:\d{2}(:\d{2})?$"), F.lit(False))
             out = out.when(hit, name)
         return out
 
-    return F.coalesce(let(probe, pick), col_of(fallback))
+    return F.coalesce(let(prepared(probe), pick), col_of(fallback))
 
 
 def looks_generated(name) -> Column:

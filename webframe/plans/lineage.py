@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,11 +24,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialize a result that several later steps read.
+    """Write a result that several later steps read, and read it back.
 
-    A checkpoint lives in shared storage, so losing executors later costs no
-    recomputation of what is above it, and the plan of the steps below starts
-    from a plain scan.
+    The table lies in the shared checkpoint folder: losing executors later
+    costs no recomputation of what is above it, each later step reads only the
+    columns it needs, and its plan starts from a plain scan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)

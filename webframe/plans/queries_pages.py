@@ -156,14 +156,14 @@ def text_elements(spark, sf):
 
 @query()
 def simplified_tree(spark, sf):
-    return R.simplified_tree(html_nodes(_pages(spark, sf), R.TREE_COLUMNS)).select("page_id", "nodes", "truncated_nodes", "images_in_dom", "image_coverage", "tree")
+    return R.simplified_tree(cut(html_nodes(_pages(spark, sf), R.TREE_COLUMNS))).select("page_id", "nodes", "truncated_nodes", "images_in_dom", "image_coverage", "tree")
 
 
 @query(
     "SELECT page_id, 'ul > li' AS item_selector, 'ul' AS container_selector, count(*) AS \"count\" FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY 1 HAVING count(*) >= 3"
 )
 def list_candidates(spark, sf):
-    c = D.list_candidates(html_nodes(_pages(spark, sf), D.LIST_COLUMNS))
+    c = D.list_candidates(cut(html_nodes(_pages(spark, sf), D.LIST_COLUMNS)))
     return c.where("tag = 'li'").select("page_id", "item_selector", "container_selector", "count")
 
 
@@ -171,13 +171,13 @@ def list_candidates(spark, sf):
     "SELECT page_id, t.tag, t.selector FROM pages, (VALUES ('nav', 'nav'), ('ul', 'ul'), ('article', 'article'), ('div', 'div.ad'), ('h1', 'h1'), ('footer', 'footer')) AS t(tag, selector)"
 )
 def unique_selector(spark, sf):
-    nodes = html_nodes(_pages(spark, sf), ["node_id", "tag", "elem_id", "classes", "attrs", "path"])
+    nodes = cut(html_nodes(_pages(spark, sf), ["node_id", "tag", "elem_id", "classes", "attrs", "path"]))
     marks = nodes.where(F.col("tag").isin("nav", "ul", "article", "div", "h1", "footer"))
     return D.unique_selector(nodes, marks).join(marks.select("page_id", "node_id", "tag"), ["page_id", "node_id"]).select("page_id", "tag", "selector")
 
 
 def _candidates(spark, sf, where="tag = 'li'"):
-    nodes = html_nodes(_pages(spark, sf), D.NODE_COLUMNS, carry=("url",))
+    nodes = cut(html_nodes(_pages(spark, sf), D.NODE_COLUMNS, carry=("url",)))
     return nodes, cut(D.list_candidates(nodes).where(where))
 
 
@@ -204,7 +204,7 @@ def build_rules(spark, sf):
     "SELECT page_id, \"count\" >= 8 AS is_data, \"count\" FROM (SELECT page_id, count(*) AS \"count\" FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li>')) FROM pages) GROUP BY 1 HAVING count(*) >= 3)"
 )
 def candidate_looks_like_data(spark, sf):
-    c = D.list_candidates(html_nodes(_pages(spark, sf), D.LIST_COLUMNS)).where("tag = 'li'")
+    c = D.list_candidates(cut(html_nodes(_pages(spark, sf), D.LIST_COLUMNS))).where("tag = 'li'")
     return c.select("page_id", D.looks_like_data("item_selector", "container_selector", "count").alias("is_data"), "count")
 
 
@@ -216,7 +216,7 @@ _P_TEXTS = """list_filter(list_transform(string_split(regexp_extract(html, '(?s)
     f"SELECT page_id, len({_P_TEXTS}) >= 3 OR {_N.format('<li>')} >= 8 OR {_N.format('<a href=')} >= 20 AS has_content FROM pages"
 )
 def page_has_content(spark, sf):
-    nodes = html_nodes(_pages(spark, sf), D.LIST_COLUMNS)
+    nodes = cut(html_nodes(_pages(spark, sf), D.LIST_COLUMNS))
     return D.page_has_content(D.list_candidates(nodes), R.dom_stats(nodes))
 
 
@@ -224,7 +224,7 @@ def page_has_content(spark, sf):
     "SELECT page_id, 'ul > li' AS item_selector, len(regexp_extract_all(html, '<li>')) AS \"count\" FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3"
 )
 def scope_region(spark, sf):
-    return D.list_candidates(html_nodes(_pages(spark, sf), D.LIST_COLUMNS), scope="nav").select("page_id", "item_selector", "count")
+    return D.list_candidates(cut(html_nodes(_pages(spark, sf), D.LIST_COLUMNS)), scope="nav").select("page_id", "item_selector", "count")
 
 
 @query("SELECT page_id, 1 AS fields_left, 'ul > li' AS item_selector FROM pages WHERE len(regexp_extract_all(html, '<li>')) >= 3")
@@ -263,7 +263,7 @@ def _with_pager(pages):
     "SELECT page_id, 'page-param' AS strategy, cur AS current_page, '?page=' || (cur + 1) AS next_href FROM (SELECT page_id, coalesce(try_cast(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INTEGER), 1) AS cur FROM pages) WHERE cur < 3"
 )
 def pagination(spark, sf):
-    nodes = html_nodes(_with_pager(_pages(spark, sf)), G.NODE_COLUMNS, carry=("url",))
+    nodes = cut(html_nodes(_with_pager(_pages(spark, sf)), G.NODE_COLUMNS, carry=("url",)))
     return G.pagination(nodes, with_selector=False).select("page_id", "strategy", "current_page", "next_href")
 
 
@@ -272,7 +272,7 @@ def pagination(spark, sf):
 )
 def validate_pagination(spark, sf):
     pages = _with_pager(_pages(spark, sf))
-    nodes = html_nodes(pages, G.NODE_COLUMNS, carry=("url",))
+    nodes = cut(html_nodes(pages, G.NODE_COLUMNS, carry=("url",)))
     rule = Rule("li", (), next_selector="a.no-such-class")
     out = P.validate_pagination(pages, nodes, rule, G.pagination(nodes))
     return out.select("page_id", "hits", F.col("next_selector").isNotNull().alias("has_fallback"))
