@@ -225,12 +225,18 @@ def thumb_to_original(url, rules: Sequence[tuple[str, str]]) -> Column:
     return let(col_of(url), apply)
 
 
-def verify_media(files: DataFrame, ext_for_kind: dict[str, str] | None = None) -> DataFrame:
+def verify_media(
+    files: DataFrame, ext_for_kind: dict[str, str] | None = None, manifest: DataFrame | None = None
+) -> DataFrame:
     """What is wrong with each media file, NULL when it plays.
 
     ``files``: path, size, content (see ``scan_media_files``). An ID3 tag longer
-    than the head is followed by its declared length.
+    than the head is followed by its declared length. Spark's file sources leave
+    out files without content; give the expected paths as ``manifest`` to have
+    those reported as empty.
     """
+    if manifest is not None:
+        files = manifest.select("path").distinct().join(files, "path", "left")
     head = F.substring("content", 1, 4096)
     tag_end = F.aggregate(
         F.array(*[F.conv(F.hex(F.substring("content", i, 1)), 16, 10).try_cast("int") for i in (7, 8, 9, 10)]),
