@@ -13,7 +13,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGES = 64
+MIN_RANGES = 64
+
+
+def _range_count(df: DataFrame, ranges: int | None) -> int:
+    """Ranges per key: at least 64, and as many as there are shuffle partitions."""
+    return ranges or max(MIN_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _count_below(cuts: Column, value: Column, n: int) -> Column:
+    """How many of the ``n`` ascending cut points lie below the value, by bisection."""
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = (s["lo"] < s["hi"]) & (F.get(cuts, mid) < value)
+        return F.struct(
+            F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
+            F.when(below | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"),
+        )
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n.bit_length())), start, step)["lo"]
 
 
 def _as_number(df: DataFrame, col: str) -> Column:
@@ -36,14 +55,14 @@ def _with_range(df: DataFrame, first: str, ranges: int) -> DataFrame:
     """
     number = _as_number(df, first)
     steps = [i / ranges for i in range(1, ranges)]
-    cuts = df.select(number.alias("_n")).agg(F.percentile_approx("_n", steps, 1000).alias("c"))
+    cuts = df.select(number.alias("_n")).agg(F.percentile_approx("_n", steps, max(1000, 4 * ranges)).alias("c"))
     return df.withColumn("_n", number).withColumn("_cuts", cuts.scalar()).withColumn(
-        "_r", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_n"))), F.lit(0))
+        "_r", F.coalesce(_count_below(F.col("_cuts"), F.col("_n"), ranges), F.lit(0))
     ).drop("_cuts", "_n")
 
 
 def sequence_number(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rn", ranges: int | None = None
 ) -> DataFrame:
     """Exact 1-based position of every row within its key by ``order``.
 
@@ -51,7 +70,7 @@ def sequence_number(
     columns break ties.
     """
     keys = list(keys)
-    d = _with_range(df, order[0], ranges)
+    d = _with_range(df, order[0], _range_count(df, ranges))
     counts = d.groupBy(*keys, "_r").agg(F.count("*").alias("_c"))
     before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(*keys, "_r", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
@@ -65,11 +84,11 @@ def sequence_number(
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int = RANGES
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """Sum of ``value`` from the first row of the key up to and including this row."""
     keys = list(keys)
-    d = _with_range(df, order[0], ranges)
+    d = _with_range(df, order[0], _range_count(df, ranges))
     sums = d.groupBy(*keys, "_r").agg(F.sum(value).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     shift = sums.select(*keys, "_r", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
