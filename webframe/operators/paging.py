@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webframe.functions import text as T
 from webframe.functions.urls import resolve_url
 from webframe.operators.structure import unique_selector
 from webframe.plans.lineage import cut

@@ -237,7 +237,7 @@ def scope_region(nodes: DataFrame, selector: str) -> DataFrame:
     hit = S.select_nodes(nodes, selector).where(~F.col("tag").isin("html", "body"))
     first = hit.groupBy("page_id").agg(
         F.min_by(F.struct("node_id", "end_id", "parent_id", "tag", "text_len", F.array_sort(stable_classes("classes")).alias("sig"),
-                          F.try_element_at("anc_ids", F.lit(-2)).alias("grand_id"), F.element_at(F.split("path", "/"), 1).alias("_root"),
+                          F.try_element_at("anc_ids", F.lit(-2)).alias("grand_id"), 
                           F.regexp_extract("path", r"([^/#.:]+)[^/]*/[^/]*/[^/]*$", 1).alias("grand_tag"),
                           _parent_tag().alias("parent_tag")), "node_id").alias("r")
     ).select("page_id", "r.*")
@@ -245,7 +245,7 @@ def scope_region(nodes: DataFrame, selector: str) -> DataFrame:
     like = first.join(kids, (first["page_id"] == kids["page_id"]) & (first["parent_id"] == kids["p2"]) & (first["tag"] == kids["t2"])).where(
         F.col("sig") == F.col("s2")
     ).groupBy(first["page_id"]).agg(F.count("*").alias("like_n"))
-    return first.join(like, "page_id", "left").drop("_root")
+    return first.join(like, "page_id", "left")
 
 
 def list_candidates(nodes: DataFrame, scope: str | None = None, with_selectors: bool = True, merge: bool = False) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webframe.functions import text as T
 from webframe.functions import urls as U
 from webframe.functions.media import media_score, media_url_ok
 from webframe.operators import items as I
