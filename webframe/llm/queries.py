@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import decontaminate, line_dedup
+from webframe.llm import bpe, decontaminate, line_dedup, token_counts
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query(decontaminate.decontaminate_sql())
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.decontaminate(documents(spark, folder), table(spark, folder, "benchmark"))
@@ -37,6 +43,12 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+@query()
+def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode_decode(documents(spark, folder), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 @query(f"SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM ({line_dedup.line_dedup_sql()})")
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(documents(spark, folder))
