@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, line_dedup, simhash, token_counts
+from webframe.llm import bpe, decontaminate, line_dedup, simhash, token_counts, toxicity
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, folder), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query()
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), table(spark, folder, "labels"))
+
+
 @query(f"SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM ({line_dedup.line_dedup_sql()})")
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(documents(spark, folder))
