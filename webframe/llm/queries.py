@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, language, line_dedup, simhash, token_counts, toxicity
+from webframe.llm import bpe, decontaminate, language, line_dedup, simhash, token_counts, topk, toxicity
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,11 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, folder), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query(topk.top_k_sql())
+def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), table(spark, folder, "labels"))
