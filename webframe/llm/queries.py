@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, language, line_dedup, simhash, token_counts, topk, toxicity
+from webframe.llm import bpe, decontaminate, language, license_scan, line_dedup, secret_scan, simhash, token_counts, topk, toxicity
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,12 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, folder), path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query()
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(documents(spark, folder), path="source")
+    return found.select("doc_id", "pos", "nth", F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 @query(topk.top_k_sql())
 def op7_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -69,6 +75,15 @@ def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), table(spark, folder, "labels"))
 
 
+@query()
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents have no paths: a source is read as a tree, every tenth document as its directory's licence file."""
+    near, far = F.floor(F.col("doc_id") / 10), F.floor(F.col("doc_id") / 1000)
+    name = F.when(F.col("doc_id") % 10 == 0, "LICENSE").otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
+    docs = documents(spark, folder).select("doc_id", F.concat_ws("/", "source", far, near, name).alias("path"), "text")
+    return license_scan.scan(docs).select("doc_id", "path", "license", "origin", F.round("score", 6).alias("score"), "directory")
+
+
 @query(f"SELECT doc_id, n_lines, n_removed, sha256(text) AS text_sha256 FROM ({line_dedup.line_dedup_sql()})")
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(documents(spark, folder))
