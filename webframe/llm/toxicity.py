@@ -179,24 +179,30 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """*docs* with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) added; other columns pass unchanged.
+    """``doc_id, score, predicted`` per row: 0 to 1, and 1 from 0.5 on. A null text scores as an empty one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [model.score(t.as_py()) for t in batch.column(1)]
+            made = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "score", "predicted"])
+
+    d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFrame:
+    """The rows of *docs* that the model does not reject, all columns as they are."""
 
-    A null text scores as an empty one: the share that the bias alone gives.
-    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [model.score(t.as_py()) for t in batch.column(text)]
-            kept = {c: batch.column(c) for c in batch.schema.names if c not in ("score", "predicted")}
-            made = {"score": pa.array(values, pa.float64()), "predicted": pa.array([int(v >= 0.5) for v in values], pa.int32())}
-            yield pa.RecordBatch.from_pydict(kept | made)
+            yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(text)], pa.bool_()))
 
-    rest = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rest), "score double", "predicted int"])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row, by a model trained on the rows that are not held out."""
     model = train(docs, labels, key, text, sample)
-    d = score(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), model, "doc_id", "text")
+    d = score(docs, model, key, text)
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
