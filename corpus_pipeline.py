@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from webframe.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from webframe.llm.common import free_name
 from webframe.plans.lineage import shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,26 +37,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return cleaned.select(*docs.columns)
+        counted = F.when(changed, F.char_length("text")).otherwise(F.col("row.n_chars"))
+        new["n_chars"] = counted.cast(docs.schema["n_chars"].dataType)
+    cleaned = line_dedup.cleaned_texts(docs)
+    return cleaned.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component stays; of repeated rows with that id, one."""
     found = simhash.near_duplicates(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    d = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = [F.col(c).asc_nulls_last() for c in ("text", *(c for c in docs.columns if c not in ("doc_id", "text")))]
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    return d.withColumn("_first", first).where(F.col("_first") == 1).select(*docs.columns)
+    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    sortable = [c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith(("map", "variant"))]
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in sortable]))
+    first = free_name(docs, "_first")
+    return d.withColumn(first, place).where(F.col(first) == 1).select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

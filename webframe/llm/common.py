@@ -31,3 +31,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, upper, upper.lower())
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """*name*, lengthened until no column of *df* has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -60,6 +60,22 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return later.groupBy("doc_id").agg(F.flatten(F.collect_set("lines")).alias("covered"))
 
 
+def cleaned_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, text, n_lines, n_removed`` per row of *docs*: the row as a struct, its text without repeated passages, counts."""
+    hits = covered_lines(docs, key, text).select(F.col("doc_id").alias("_id"), "covered")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    d = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "covered", _lines(F.col("text")).alias("lines"))
+    n = F.size("lines")
+    rest = F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("covered", F.array().cast("array<int>")))
+    d = d.select("row", "text", "covered", "lines", rest.alias("rest"))
+    kept = F.array_join(F.transform("rest", lambda i: F.get(F.col("lines"), i)), "\n")
+    return d.select(
+        "row", F.when(F.col("covered").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(n).cast("long").alias("n_lines"),
+        F.when(F.col("covered").isNull() | F.col("text").isNull(), 0).otherwise(n - F.size("rest")).cast("long").alias("n_removed"),
+    )
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """*docs* with repeated passages removed from the text; adds ``n_lines`` and ``n_removed``.
 
@@ -67,17 +83,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     window and stay. A null text stays null and counts no lines. Texts of fewer
     than three lines stay as they are. Rows with equal key (or null key) are
     taken for the same document: none of them is the later one, and what is
-    removed from one is removed from all. Other columns pass unchanged.
+    removed from one is removed from all. Other columns pass unchanged, but
+    ones named like the two new columns are replaced.
     """
-    hits = covered_lines(docs, key, text).select(F.col("doc_id").alias("_id"), "covered")
-    d = docs.join(hits, docs[key].eqNullSafe(hits["_id"]), "left").drop("_id")
-    d = d.withColumn("_lines", _lines(F.col(text)))
-    n = F.size("_lines")
-    d = d.withColumn("_keep", F.array_except(F.sequence(F.lit(0), n - 1), F.coalesce("covered", F.array().cast("array<int>"))))
-    kept = F.array_join(F.transform("_keep", lambda i: F.get(F.col("_lines"), i)), "\n")
-    d = d.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(n).cast("long"))
-    d = d.withColumn("n_removed", F.when(F.col("covered").isNull(), 0).otherwise(n - F.size("_keep")).cast("long"))
-    return d.withColumn(text, F.when(F.col("covered").isNull(), F.col(text)).otherwise(kept)).drop("_lines", "_keep", "covered")
+    d = cleaned_texts(docs, key, text)
+    kept = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    return d.select(*kept, "n_lines", "n_removed")
 
 
 def line_dedup_sql(docs: str = "documents") -> str:
