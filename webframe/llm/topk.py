@@ -84,7 +84,7 @@ def _gather(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     for part in _cuts(a.shape[1]):
         local = _product(a[:, part], b[:, part])
         local[own] = -LONG - 1
-        best = np.argpartition(-local, min(k, len(c)) - 1, axis=1)[:, :k] if k < len(c) else np.tile(np.arange(len(c)), (len(q), 1))
+        best = np.argpartition(local, len(c) - k, axis=1)[:, -k:] if k < len(c) else np.tile(np.arange(len(c)), (len(q), 1))
         np.put_along_axis(picked, best, True, axis=1)
     i, j = np.nonzero(picked & ~own)
     return _best(q["vec_id"].to_numpy()[i], c["vec_id"].to_numpy()[j], whole[i, j], k)
@@ -98,7 +98,7 @@ def _collect(pdf: pd.DataFrame, k: int) -> pd.DataFrame:
     cutoff = q["cutoff"].to_numpy(dtype=object)
     cutoff = np.array([-LONG - 1 if pd.isna(x) else int(x) for x in cutoff], np.int64)[:, None]
     parts = _cuts(a.shape[1])
-    least = -(-cutoff // len(parts))
+    least = cutoff // len(parts) + (cutoff % len(parts) > 0)  # rounded up
     enough = np.zeros((len(q), len(c)), bool)
     for part in parts:
         enough |= _product(a[:, part], b[:, part]) >= least
