@@ -61,7 +61,7 @@ def test_ancestor_attributes(page):
 
 
 def test_unsupported_selectors_say_so():
-    for bad in ("a + b", "a:hover", "> a", "//a/..", "", "a >"):
+    for bad in ("a +", "+ a", "a + > b", "a:nth-child(x)", "a:hover", "> a", "//a/..", "", "a >"):
         with pytest.raises(SelectorError):
             parse(bad)
 

@@ -156,3 +156,18 @@ def test_css_and_xpath_agree(page):
     assert ids("article h3 > a") == ids("//article/h3/a") != []
     assert ids("article:nth-of-type(2) p.price_color") == ids("//article[2]/p[1]")
     assert ids('section[class="list"] article img[src$=".jpg"]') == ids("//img[contains(@src,'.jpg')]")
+
+
+def test_images_without_address_are_no_content(page):
+    html = "<ul>" + "<li><img></li>" * 3 + "</ul><ol>" + "<li><img src=/a.png></li>" * 3 + "</ol>"
+    got = D.list_candidates(nodes_of(page, html)).collect()
+    assert len(got) == 1 and got[0]["item_selector"].startswith("ol")
+
+
+def test_rules_keep_fields_of_equal_name(spark):
+    f = "array<struct<name:string,selector:string,attribute:string>>"
+    fields = [(n, f"s{i}", None) for i, n in enumerate(["title", "name", "Preis", "text", *[f"c{k}" for k in range(9)]])]
+    cands = spark.createDataFrame([(1, 1, "li", "ul", 5, fields)], f"page_id bigint, rank int, item_selector string, container_selector string, count int, fields {f}")
+    names = [x["name"] for x in D.build_rules(cands).collect()[0]["list_rule"]["fields"]]
+    assert names == ["title", "title_2", "preis", "title_3", *[f"c{k}" for k in range(9)]]
+    assert len(D.build_rules(cands, field_limit=2).collect()[0]["list_rule"]["fields"]) == 2

@@ -22,11 +22,17 @@ _ANY_SEG = r"[^/]+"
 _SIMPLE = re.compile(
     r"""(?P<tag>[a-zA-Z][\w-]*|\*)|\#(?P<id>(?:\\[0-9a-fA-F]{6}|\\.|[\w\u0080-\uffff-])+)|\.(?P<cls>(?:\\[0-9a-fA-F]{6}|\\.|[\w\u0080-\uffff-])+)
     |\[\s*(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^$*~]?=)\s*(?P<val>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^\s\]]+)\s*(?P<ci>[iI])?\s*)?\]
-    |:nth-of-type\(\s*(?P<nth>\d+)\s*\)|:is\((?P<alts>[^()]*)\)""",
+    |:nth-of-type\(\s*(?P<nth>\d+)\s*\)|:is\((?P<alts>[^()]*)\)|:not\((?P<nots>[^()]*)\)
+    |:nth-(?P<from_end>last-)?child\(\s*(?P<step>odd|even|[+-]?\d*n(?:\s*[+-]\s*\d+)?|\d+)\s*\)
+    |:(?P<place>first-child|last-child|only-child|first-of-type)""",
     re.X,
 )
 
 
+COMBINATORS = (">", "+", "~")
+SIBLINGS = ("+", "~")
+
+
 class SelectorError(ValueError):
     """The selector is outside the supported grammar."""
 
@@ -39,10 +45,12 @@ class Compound:
     attrs: list[tuple] = field(default_factory=list)
     nth: int | None = None
     alts: list["Compound"] = field(default_factory=list)
+    nots: list["Compound"] = field(default_factory=list)
+    places: list[tuple[bool, int, int]] = field(default_factory=list)
     text_has: str | None = None
 
     def needs_row(self) -> bool:
-        return bool(self.attrs or self.text_has or any(a.needs_row() for a in self.alts))
+        return bool(self.attrs or self.text_has or self.nots or self.places or any(a.needs_row() for a in self.alts))
 
 
 @dataclass
@@ -62,6 +70,15 @@ def _unescape(name: str) -> str:
     return re.sub(r"\\(.)", r"\1", name)
 
 
+def _every(step: str) -> tuple[int, int]:
+    """``an+b`` as (a, b)."""
+    step = {"odd": "2n+1", "even": "2n"}.get(step, step.replace(" ", ""))
+    if "n" not in step:
+        return 0, int(step)
+    a, b = step.split("n")
+    return {"": 1, "+": 1, "-": -1}.get(a) or int(a or 0), int(b or 0)
+
+
 def _compound(text: str) -> Compound:
     out, pos = Compound(), 0
     while pos < len(text):
@@ -82,6 +99,15 @@ def _compound(text: str) -> Compound:
             out.attrs.append((m["attr"].lower(), m["op"], val, bool(m["ci"])))
         elif m["nth"]:
             out.nth = int(m["nth"])
+        elif m["nots"] is not None:
+            out.nots += [_compound(a.strip()) for a in m["nots"].split(",")]
+        elif m["step"]:
+            out.places.append((bool(m["from_end"]), *_every(m["step"])))
+        elif m["place"] == "first-of-type":
+            out.nth = 1
+        elif m["place"]:
+            ends = {"first-child": [False], "last-child": [True], "only-child": [False, True]}[m["place"]]
+            out.places += [(from_end, 0, 1) for from_end in ends]
         else:
             out.alts = [_compound(a.strip()) for a in m["alts"].split(",")]
     return out
@@ -103,12 +129,12 @@ def _split(text: str, on_comma: bool) -> list[str]:
             parts.append(cur)
             cur = ""
             continue
-        elif depth == 0 and not on_comma and ch in " >\t\n":
+        elif depth == 0 and not on_comma and ch in " >+~\t\n":
             if cur:
                 parts.append(cur)
                 cur = ""
-            if ch == ">":
-                parts.append(">")
+            if ch in ">+~":
+                parts.append(ch)
             continue
         cur += ch
     return parts + ([cur] if cur.strip() or on_comma else [])
@@ -121,12 +147,14 @@ def parse_css(selector: str) -> list[Selector]:
         for i, tok in enumerate(tokens):
             if tok == ":scope" and i == 0:
                 scoped = True
-            elif tok == ">":
-                comb = ">"
+            elif tok in COMBINATORS:
+                comb = tok
             else:
                 steps.append((comb, _compound(tok)))
                 comb = " "
-        if not steps or tokens[-1] == ">" or (steps[0][0] == ">" and not scoped):
+        doubled = any(a in COMBINATORS and b in COMBINATORS for a, b in zip(tokens, tokens[1:]))
+        first = steps[0][0] if steps else ""
+        if not steps or doubled or tokens[-1] in COMBINATORS or first in SIBLINGS or (first == ">" and not scoped):
             raise SelectorError(f"empty or dangling selector {selector!r}")
         out.append(Selector(steps, scoped))
     return out
@@ -218,6 +246,12 @@ def _attr_test(attrs: Column, test: tuple) -> Column:
 
 def _row_test(c: Compound) -> Column:
     tests = [_attr_test(F.col("attrs"), t) for t in c.attrs]
+    for from_end, a, b in c.places:
+        here = F.greatest("sib_pos", F.lit(1))
+        ahead = (F.col("sib_count") - here + 1 if from_end else here) - b
+        tests.append(ahead == 0 if a == 0 else (ahead % abs(a) == 0) & (ahead >= 0 if a > 0 else ahead <= 0))
+    for other in c.nots:
+        tests.append(~(F.col("path").rlike(f"(^|/){_seg(other)}$") & _row_test(other)))
     if c.text_has:
         tests.append(F.col("own_text").contains(c.text_has))
     if any(a.needs_row() for a in c.alts):
@@ -226,8 +260,17 @@ def _row_test(c: Compound) -> Column:
 
 
 def ancestor_tests(selector: str) -> bool:
-    """Does the selector test attributes or text of an ancestor?"""
-    return any(c.needs_row() for s in parse(selector) for _, c in s.steps[:-1])
+    """Does the selector test siblings, or an ancestor's attributes, text or place? (then it needs ``select_nodes``)"""
+    return any(
+        c.needs_row() for s in parse(selector) for _, c in s.steps[:-1]
+    ) or any(comb in SIBLINGS for s in parse(selector) for comb, _ in s.steps)
+
+
+def row_columns(selector: str) -> set[str]:
+    """Columns beyond path, tag and attributes that the selector's tests read."""
+    steps = [step for s in parse(selector) for step in s.steps]
+    out = {"sib_pos", "sib_count"} if any(c.places or any(n.places for n in (*c.nots, *c.alts)) for _, c in steps) else set()
+    return out | ({"sib_pos", "parent_id"} if any(comb in SIBLINGS for comb, _ in steps) else set())
 
 
 def match(selector: str, path: Column | None = None) -> Column:
@@ -235,8 +278,8 @@ def match(selector: str, path: Column | None = None) -> Column:
     path = F.col("path") if path is None else path
     tests = []
     for sel in parse(selector):
-        if any(c.needs_row() for _, c in sel.steps[:-1]):
-            raise SelectorError(f"{selector!r} tests an ancestor's attributes; use select_nodes")
+        if any(c.needs_row() for _, c in sel.steps[:-1]) or any(comb in SIBLINGS for comb, _ in sel.steps):
+            raise SelectorError(f"{selector!r} tests siblings or an ancestor's attributes; use select_nodes")
         leaf = sel.steps[-1][1]
         if not sel.scoped and len(sel.steps) == 1 and leaf.tag and not (leaf.ids or leaf.classes or leaf.alts or leaf.nth):
             hit = F.col("tag") == leaf.tag
@@ -266,26 +309,39 @@ def select_nodes(nodes: DataFrame, selector: str) -> DataFrame:
     Selectors testing an ancestor's attributes are cut after that ancestor:
     its matches are found first, and the rows below are found by an equi-join
     on the exploded ancestor ids (hash-partitioned by page and node, so no
-    page becomes a hot key and no range join is needed).
+    page becomes a hot key and no range join is needed). Sibling combinators
+    (``+``, ``~``) join on the parent, with ``+`` on the place as well.
     """
-    parts = []
-    for sel in parse(selector):
-        cut = max((i for i, (_, c) in enumerate(sel.steps[:-1]) if c.needs_row()), default=None)
-        parts.append(_select_one(nodes, sel, cut))
+    parts = [_select_one(nodes, sel) for sel in parse(selector)]
     if len(parts) == 1:
         return parts[0]
     hits = reduce(DataFrame.unionByName, [p.select("page_id", "node_id") for p in parts]).distinct()
     return nodes.join(hits, ["page_id", "node_id"], "left_semi")
 
 
-def _select_one(nodes: DataFrame, sel: Selector, cut: int | None) -> DataFrame:
+def _beside(nodes: DataFrame, sel: Selector) -> DataFrame:
+    """The last step of *sel* as a sibling of what the steps before it match."""
+    comb, leaf = sel.steps[-1]
+    left = _select_one(nodes, Selector(sel.steps[:-1], sel.scoped))
+    mine = nodes.where(F.col("path").rlike(f"(^|/){_seg(leaf)}$") & _row_test(leaf))
+    if comb == "+":
+        before = left.select("page_id", "parent_id", (F.col("sib_pos") + 1).alias("sib_pos"))
+        return mine.join(before, ["page_id", "parent_id", "sib_pos"], "left_semi")
+    before = left.groupBy("page_id", "parent_id").agg(F.min("sib_pos").alias("_from"))
+    hits = mine.select("page_id", "node_id", "parent_id", "sib_pos").join(before, ["page_id", "parent_id"]).where("sib_pos > _from")
+    return nodes.join(hits.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi")
+
+
+def _select_one(nodes: DataFrame, sel: Selector) -> DataFrame:
     leaf = sel.steps[-1][1]
+    if sel.steps[-1][0] in SIBLINGS:
+        return _beside(nodes, sel)
+    cut = max((i for i, (comb, c) in enumerate(sel.steps[:-1]) if c.needs_row() or comb in SIBLINGS), default=None)
     if cut is None:
         hit = F.col("path").rlike(path_regex(sel))
         return nodes.where(hit & _row_test(leaf) if leaf.needs_row() else hit)
     head = Selector(sel.steps[: cut + 1], sel.scoped)
-    above = max((i for i, (_, c) in enumerate(head.steps[:-1]) if c.needs_row()), default=None)
-    ups = _select_one(nodes, head, above).select("page_id", F.col("node_id").alias("_up"), F.col("depth").alias("_ud"))
+    ups = _select_one(nodes, head).select("page_id", F.col("node_id").alias("_up"), F.col("depth").alias("_ud"))
     tail = Selector(sel.steps[cut + 1:], True)
     below = nodes.where(F.col("path").rlike(f"(^|/){_seg(leaf)}$") & _row_test(leaf)).select(
         "page_id", "node_id", "path", "depth", F.explode("anc_ids").alias("_up")

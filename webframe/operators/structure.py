@@ -26,7 +26,7 @@ SKIP_TAGS = (
 CONTAINER_TAGS = ("ul", "ol", "div", "section", "main", "article")
 MAX_CANDIDATES, MIN_GROUP, MIN_TEXT = 12, 3, 10
 MAX_CLASSES, MAX_CLASS_LEN = 3, 40
-MAX_FIELDS, RULE_FIELDS = 12, 8
+MAX_FIELDS = 12
 MAX_CHAIN, MAX_RELATIVE = 30, 12
 LAZY_ATTRS = ("data-src", "data-original", "data-lazy-src", "data-actualsrc", "data-echo")
 BACKGROUND_ATTRS = ("data-bg", "data-background", "data-bg-src", "data-background-image")
@@ -127,7 +127,7 @@ def unique_selector(nodes: DataFrame, targets: DataFrame) -> DataFrame:
         F.map_entries("attrs"), lambda e: e["key"].startswith("data-") & (e["value"] != "") & (e["key"] != "data-v")
     )
     chain = F.transform(
-        F.slice(F.filter(_segments(F.col("path"), False), lambda s: ~s["tag"].isin("html", "body")), 1, MAX_CHAIN),
+        F.filter(_segments(F.col("path"), False), lambda s: ~s["tag"].isin("html", "body")),
         lambda s, i: F.struct(
             s["tag"].alias("tag"), s["id"].alias("id"),
             F.when(s["only"], "").otherwise(s["nth"]).alias("nth"), (i == 0).alias("self"),
@@ -213,7 +213,7 @@ def _parent_tag() -> Column:
 def _groups(nodes: DataFrame) -> DataFrame:
     """Groups of at least three like children per parent, over all parents."""
     own_link = ((F.col("tag") == "a") & F.map_contains_key("attrs", "href")).cast("int")
-    own_img = (F.col("tag") == "img").cast("int")
+    own_img = ((F.col("tag") == "img") & F.map_contains_key("attrs", "src")).cast("int")
     useful = (
         (F.col("parent_id") >= 0) & ~F.col("tag").isin(*SKIP_TAGS)
         & ((F.col("text_len") > MIN_TEXT) | (F.col("n_links") - own_link + F.col("n_imgs") - own_img > 0))
@@ -709,7 +709,7 @@ def candidate_score(count, fields) -> Column:
     return distinct * 4 + F.size(col_of(fields)) + F.least(col_of(count), F.lit(20)) + F.when(has_image_field(fields), 6).otherwise(0)
 
 
-def build_rules(cands: DataFrame, paging: DataFrame | None = None, max_pages: int = 1, by: str = "page_id", field_limit: int = RULE_FIELDS) -> DataFrame:
+def build_rules(cands: DataFrame, paging: DataFrame | None = None, max_pages: int = 1, by: str = "page_id", field_limit: int | None = None) -> DataFrame:
     """Best candidate per page, or per site template (``by``), as a rule.
 
     ``max_by`` is combined map-side, so a template may own any share of the pages.
@@ -722,7 +722,7 @@ def build_rules(cands: DataFrame, paging: DataFrame | None = None, max_pages: in
         ).alias("c")
     )
     fields = F.transform(
-        F.slice("c.fields", 1, field_limit),
+        F.col("c.fields") if field_limit is None else F.slice("c.fields", 1, field_limit),
         lambda f: let(
             normalize_field_name(f["name"], f["attribute"]),
             lambda n: F.struct(
@@ -731,9 +731,16 @@ def build_rules(cands: DataFrame, paging: DataFrame | None = None, max_pages: in
             ),
         ),
     )
-    # two fields can normalize to one name: the first keeps it
-    names = lambda fs: F.transform(fs, lambda f: f["name"])
-    fields = let(fields, lambda fs: F.filter(fs, lambda f, i: F.array_position(names(fs), f["name"]) == i + 1))
+    # several fields can normalize to one name: the later ones are numbered
+    def numbered(fs: Column) -> Column:
+        def one(f: Column, i: Column) -> Column:
+            before = F.size(F.filter(F.slice(fs, F.lit(1), i), lambda g: g["name"] == f["name"]))
+            name = F.when(before == 0, f["name"]).otherwise(F.concat(f["name"], F.lit("_"), (before + 1).cast("string")))
+            return F.struct(name.alias("name"), *[f[c].alias(c) for c in ("selector", "attribute", "transform", "required")])
+
+        return F.transform(fs, one)
+
+    fields = let(fields, numbered)
     out = best.select(
         by, F.lit("dom").alias("mode"),
         F.struct(F.col("c.item_selector").alias("item_selector"), fields.alias("fields")).alias("list_rule"),

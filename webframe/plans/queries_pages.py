@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.functions import urls as U
@@ -72,6 +75,24 @@ def select_css(spark, sf):
     return select_nodes(nodes, "nav li > a[href]").select("page_id", F.element_at("attrs", "href").alias("href"), F.col("text").alias("txt"))
 
 
+_PLACES = {
+    "nav li:nth-child(2) > a": "pos = 2", "nav li:nth-child(2n+1) > a": "pos % 2 = 1", "nav li:nth-last-child(2) a": "pos = n - 1",
+    "nav li:first-child a": "pos = 1", "nav li:last-child > a": "pos = n", "nav li:not(:first-child) a[href]": "pos > 1",
+    "nav li:first-child + li a": "pos = 2", "nav li:nth-child(2) ~ li > a": "pos > 2", "nav li:only-child a": "n = 1",
+}
+
+
+@query(
+    f"WITH {_LI}, c AS (SELECT *, count(*) OVER (PARTITION BY page_id) AS n FROM li) "
+    + " UNION ALL ".join(f"SELECT '{css}' AS css, page_id, href FROM c WHERE {cond}" for css, cond in _PLACES.items())
+)
+def select_by_place(spark, sf):
+    """Selectors by place among siblings, by negation and by sibling combinators."""
+    nodes = cut(html_nodes(_pages(spark, sf), ["node_id", "parent_id", "sib_pos", "sib_count", "depth", "tag", "path", "attrs", "anc_ids"], ["li", "a"]))
+    found = [select_nodes(nodes, css).select(F.lit(css).alias("css"), "page_id", F.element_at("attrs", "href").alias("href")) for css in _PLACES]
+    return reduce(DataFrame.union, found)
+
+
 @query(f"SELECT page_id, {_H1} AS txt FROM (SELECT page_id, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS h FROM pages)")
 def select_xpath(spark, sf):
     nodes = html_nodes(_pages(spark, sf), ["node_id", "depth", "tag", "path", "attrs", "text"], ["h1"])
@@ -310,7 +331,7 @@ def follow_pages(spark, sf):
     return G.follow_pages(pages.select("page_id", "url"), edges, items, 3).select("start_id", "step", "page_id")
 
 
-@query(f"WITH {_LI} SELECT page_id, url, position FROM (SELECT page_id, u AS url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM (SELECT page_id, {_ROOT} || href AS u, min(pos) AS pos FROM li GROUP BY 1, 2)) WHERE position <= 200")
+@query(f"WITH {_LI} SELECT page_id, url, position FROM (SELECT page_id, u AS url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM (SELECT page_id, {_ROOT} || href AS u, min(pos) AS pos FROM li GROUP BY 1, 2))")
 def collect_media_urls(spark, sf):
     pages = _pages(spark, sf)
     nodes = html_nodes(pages, ["node_id", "depth", "tag", "path", "attrs"], ["a"])

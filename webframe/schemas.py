@@ -8,6 +8,7 @@ NODE_FIELDS = {
     "parent_id": "int",
     "depth": "int",
     "sib_pos": "int",
+    "sib_count": "int",
     "nth_of_type": "int",
     "type_count": "int",
     "n_kids": "int",

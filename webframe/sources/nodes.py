@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -74,6 +75,7 @@ class _Tree:
         self.all_at: list[list[int]] = []
         self.own: list[list[str]] = []
         self.stack: list[int] = []
+        self.open: Counter[str] = Counter()
         self.gap = True
         self.in_body = False
 
@@ -133,9 +135,11 @@ class _Tree:
         self.all_at.append([len(self.all_text), 0])
         self.own.append([])
         self.stack.append(node)
+        self.open[tag] += 1
 
     def pop(self, inner_end: int, end: int) -> None:
         node = self.stack.pop()
+        self.open[self.tag[node]] -= 1
         last = len(self.tag) - 1
         self.end[node] = last
         self.span[node][2:] = [inner_end, end]
@@ -166,7 +170,7 @@ class _Tree:
             if tag not in HEAD_ONLY:
                 self.ensure_body()
         ends = ENDS.get(tag)
-        if ends:
+        if ends and any(self.open[e] for e in ends):
             fence = _FENCES.get(tag, FENCE)
             depth = len(self.stack)
             cut = depth
@@ -185,7 +189,7 @@ class _Tree:
             self.pop(after, after)
 
     def finish(self, tag: str, at: int, after: int) -> None:
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or not self.open[tag]:
             return
         for i in range(len(self.stack) - 1, -1, -1):
             name = self.tag[self.stack[i]]
@@ -210,7 +214,14 @@ def _attributes(raw: str) -> dict:
 
 def build_tree(source: str) -> _Tree:
     tree, pos, size = _Tree(), 0, len(source)
+    last = source.rfind(">")  # no tag ends behind it, so nothing there is tried again and again
     while pos < size:
+        at = source.find("<", pos)
+        if at > last and not source.startswith("<!--", at):
+            m = source.find("<!--", at)
+            tree.text(source[pos:m] if m >= 0 else source[pos:])
+            pos = m if m >= 0 else size
+            continue
         m = _TOKEN.search(source, pos)
         if m is None:
             tree.text(source[pos:])
@@ -250,7 +261,8 @@ class _Batch:
         self.rows: dict[str, list] = {c: [] for c in ("page_id", *self.carry, *self.columns)}
         self.size = 0
 
-    def add(self, page_id: int, carried: tuple, source: str, tree: _Tree) -> None:
+    def add(self, page_id: int, carried: tuple, source: str, tree: _Tree) -> Iterator[pa.RecordBatch]:
+        """Takes the rows of a page in; yields batches that are full."""
         want, rows = set(self.columns), self.rows
         tags, parent = tree.tag, tree.parent
         n = len(tags)
@@ -267,15 +279,14 @@ class _Batch:
             key = (up, tags[i])
             nth[i] = per_type[key] = per_type.get(key, 0) + 1
             links[i] = 1 if tags[i] == "a" and "href" in tree.attrs[i] else 0
-            imgs[i] = 1 if tags[i] == "img" else 0
+            imgs[i] = 1 if tags[i] == "img" and "src" in tree.attrs[i] else 0
         if "n_links" in want or "n_imgs" in want:
             for i in range(n - 1, 0, -1):
                 links[parent[i]] += links[i]
                 imgs[parent[i]] += imgs[i]
         keep = range(n) if self.tags is None else [i for i in range(n) if tags[i] in self.tags]
         need_path = "path" in want or "anc_ids" in want
-        paths: list = [None] * n
-        ancestors: list = [None] * n
+        segments: list = [None] * n
         if need_path:
             for i in range(n):
                 a = tree.attrs[i]
@@ -284,47 +295,54 @@ class _Batch:
                     seg += "#" + escape_token(a["id"])
                 if a.get("class"):
                     seg += "".join("." + escape_token(c) for c in a["class"].split())
-                seg += ":%d" % nth[i] if per_type[(parent[i], tags[i])] > 1 else ":1!"
-                up = parent[i]
-                paths[i] = seg if up < 0 else paths[up] + "/" + seg
-                ancestors[i] = [] if up < 0 else ancestors[up] + [up]
-        rows["page_id"].extend([page_id] * len(keep))
-        for c, v in zip(self.carry, carried):
-            rows[c].extend([v] * len(keep))
-        chars = 0
+                segments[i] = seg + (":%d" % nth[i] if per_type[(parent[i], tags[i])] > 1 else ":1!")
+
+        def above(i: int) -> list[int]:
+            out = []
+            while (i := parent[i]) >= 0:
+                out.append(i)
+            return out[::-1]
+
         simple = {
             "node_id": lambda i: i, "end_id": tree.end.__getitem__, "parent_id": parent.__getitem__,
             "depth": depth.__getitem__, "sib_pos": sib.__getitem__, "nth_of_type": nth.__getitem__,
             "type_count": lambda i: per_type[(parent[i], tags[i])], "n_kids": kids.__getitem__,
             "tag": tags.__getitem__, "elem_id": lambda i: tree.attrs[i].get("id") or None,
             "classes": lambda i: tree.attrs[i]["class"].split() if tree.attrs[i].get("class") else [],
-            "attrs": lambda i: list(tree.attrs[i].items()), "path": paths.__getitem__,
-            "anc_ids": ancestors.__getitem__, "n_links": links.__getitem__, "n_imgs": imgs.__getitem__,
-            "hidden": tree.hidden.__getitem__,
+            "attrs": lambda i: list(tree.attrs[i].items()), "path": lambda i: "/".join([segments[j] for j in above(i)] + [segments[i]]),
+            "anc_ids": above, "n_links": links.__getitem__, "n_imgs": imgs.__getitem__,
+            "sib_count": lambda i: kids[parent[i]] if parent[i] >= 0 else 1, "hidden": tree.hidden.__getitem__,
             "own_text": lambda i: _SPACE.sub(" ", "".join(tree.own[i])).strip() if tags[i] not in RAW else "".join(tree.own[i]).strip(),
             "inner_html": lambda i: source[tree.span[i][1]:tree.span[i][2]],
             "outer_html": lambda i: source[tree.span[i][0]:tree.span[i][3]],
         }
-        if "text" in want or "text_len" in want:
-            texts = []
-            for i in keep:
-                a, b = tree.seen_at[i]
-                t = "".join(tree.pieces[a:b]).strip() if b > a and not tree.hidden[i] else ""
-                if not t:
-                    a, b = tree.all_at[i]
-                    t = "".join(tree.all_text[a:b]).strip() if b > a else ""
-                texts.append(t)
-            chars += sum(map(len, texts)) if "text" in want else 0
-            if "text" in want:
-                rows["text"].extend(texts)
-            if "text_len" in want:
-                rows["text_len"].extend(map(len, texts))
-        for c in self.columns:
-            if c in simple:
-                rows[c].extend(map(simple[c], keep))
-        if "outer_html" in want or "inner_html" in want:
-            chars += len(source) * 4
-        self.size += len(keep) * 200 + chars
+        def text_of(i: int) -> str:
+            a, b = tree.seen_at[i]
+            t = "".join(tree.pieces[a:b]).strip() if b > a and not tree.hidden[i] else ""
+            if not t:
+                a, b = tree.all_at[i]
+                t = "".join(tree.all_text[a:b]).strip() if b > a else ""
+            return t
+
+        heavy = [c for c in ("path", "anc_ids", "inner_html", "outer_html") if c in want]
+        for i in keep:
+            rows["page_id"].append(page_id)
+            for c, v in zip(self.carry, carried):
+                rows[c].append(v)
+            for c in self.columns:
+                if c in simple:
+                    rows[c].append(simple[c](i))
+            if "text" in want or "text_len" in want:
+                t = text_of(i)
+                if "text" in want:
+                    rows["text"].append(t)
+                    self.size += len(t)
+                if "text_len" in want:
+                    rows["text_len"].append(len(t))
+            self.size += 200 + sum(len(rows[c][-1]) for c in heavy)
+            if self.size > BATCH_BYTES:  # also inside a page: no batch outgrows its bound by more than one row
+                yield self.emit()
+                rows = self.rows
 
     def emit(self) -> pa.RecordBatch:
         arrays = [pa.array(self.rows[f.name], type=f.type) for f in self.schema]
@@ -382,15 +400,13 @@ def html_nodes(
                     continue
                 carried = tuple(e[at] for e in extra)
                 try:
-                    out.add(page_id, carried, text, build_tree(text))
+                    tree = build_tree(text)
                 except (RecursionError, ValueError, IndexError, KeyError) as exc:
-                    bad = _Tree()
-                    bad.push("#error", {}, 0, 0)
-                    bad.text(f"{type(exc).__name__}: {exc}")
-                    bad.pop(0, 0)
-                    out.add(page_id, carried, text, bad)
-                if out.size > BATCH_BYTES:
-                    yield out.emit()
+                    tree = _Tree()
+                    tree.push("#error", {}, 0, 0)
+                    tree.text(f"{type(exc).__name__}: {exc}")
+                    tree.pop(0, 0)
+                yield from out.add(page_id, carried, text, tree)
         if out.rows["page_id"]:
             yield out.emit()
 
