@@ -18,10 +18,13 @@ def test_log_is_read_with_defaults(spark, tmp_path):
         {"id": "5", "timestamp": 5.5, "url": "http://h/t", "mime_type": "text/html", "body_text": "{}"},
     ]
     (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(x) for x in lines) + "\n{broken\n")
-    df = C.parse_body(read_captures(spark, str(tmp_path))).cache()
-    assert df.count() == 5 and read_captures(spark, str(tmp_path), keep_bad=True).count() == 6
-    assert {r["id"] for r in df.where("body_json is not null").collect()} == {"1", "2"}
-    assert df.where("id = '4'").first()["body_text"] == "" and df.where("id = '1'").first()["method"] == "GET"
+    df = C.parse_body(read_captures(spark, str(tmp_path), keep_bad=False)).cache()
+    assert df.count() == 5 and read_captures(spark, str(tmp_path)).count() == 6
+    assert {r["id"] for r in df.where("body_json is not null").collect()} == {"1", "2", "4"}
+    bounded = C.parse_body(read_captures(spark, str(tmp_path), keep_bad=False), 1_000_000)
+    assert {r["id"] for r in bounded.where("body_json is not null").collect()} == {"1", "2"}
+    assert df.where("id = '4'").first()["body_text"] == "[2]" and bounded.where("id = '4'").first()["body_text"] == ""
+    assert df.where("id = '1'").first()["method"] == "GET"
     assert {r["id"] for r in C.capturable(df).collect()} == {"1", "4", "5"}
     assert [r["id"] for r in C.filter_captures(df, r"^http://h/", limit=2).collect()] == ["5", "4"]
     assert [r["id"] for r in C.filter_captures(df, "API/(").collect()] == []
@@ -74,3 +77,9 @@ def test_user_steps(spark):
     got = spark.sql("SELECT pos, value FROM j, LATERAL jsonpath_rows(j.j, j.e)").collect()
     assert [(r["pos"], r["value"]) for r in got] == [(0, "1"), (1, "x")]
     assert F is not None
+
+
+def test_named_groups_are_regexes(spark):
+    d = spark.createDataFrame([("1", "http://h/api/a", 1.0), ("2", "http://h/b", 2.0)], "id string, url string, timestamp double")
+    assert [r["id"] for r in C.filter_captures(d, "/(?P<x>api)/").collect()] == ["1"]
+    assert [r["id"] for r in C.filter_captures(d, "(?P<x>t)(?P=x)p").collect()] in (["1", "2"], ["2", "1"])

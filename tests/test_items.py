@@ -155,3 +155,14 @@ def test_files_and_status(spark):
     assert {r["file_id"] for r in N.keep_largest_by_stem(f).where("not keep").collect()} == {1, 3}
     e = spark.createDataFrame([(["download of x failed", "boom"],)], "errors array<string>").select(N.split_errors().alias("e")).first()["e"]
     assert (e["core"], e["download"]) == (["boom"], ["download of x failed"])
+
+
+def test_no_limits_unless_asked(spark):
+    d = spark.range(700).selectExpr("id as seq", "if(id = 650, map('x', 'a', 'late', 'b'), map('x', 'a')) as data")
+    assert [r["column"] for r in I.infer_columns(d).collect()] == ["x", "late"]
+    assert [r["column"] for r in I.infer_columns(d, sample=200).collect()] == ["x"]
+    old = spark.range(21_000).selectExpr("concat('h', id) as content_hash", "id as seq")
+    new = spark.createDataFrame([("n", 1)], "content_hash string, seq bigint")
+    assert I.seen_after(old, new).count() == 21_001
+    names = spark.range(60).selectExpr("id", "'f' as folder", "'a' as artist", "'t' as title", "concat(id, '.mp3') as filename")
+    assert {r["new_name"] for r in I.unique_names(names, ["id"]).collect()} == {"a - t.mp3", *(f"a - t ({i}).mp3" for i in range(2, 61))}

@@ -15,28 +15,56 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-_NAME = r"[A-Za-z_\u4e00-\u9fff][\w\u4e00-\u9fff\-]*"
-_TOKEN = re.compile(
-    rf"\.\.(?P<deep>{_NAME})|\.(?P<key>{_NAME})|\[\s*(?P<idx>-?\d+)\s*\]|(?P<star>\[\s*\*\s*\])"
-    r"|\[\s*'(?P<q1>[^']*)'\s*\]|\[\s*\"(?P<q2>[^\"]*)\"\s*\]"
-)
 _EMPTY = "array<string>"
 
 
+def _is_name(c: str, first: bool) -> bool:
+    ideograph = "\u4e00" <= c <= "\u9fff"
+    return ideograph or c == "_" or (c.isascii() and c.isalpha()) or (not first and (c == "-" or c.isalnum()))
+
+
+def _name_end(body: str, at: int) -> int:
+    """Where the name that begins at *at* ends; *at* itself if none begins there."""
+    end = at
+    while end < len(body) and _is_name(body[end], end == at):
+        end += 1
+    return end
+
+
+def _bracket(inner: str) -> tuple[str, object] | None:
+    """Step for the text between brackets; None if it is none."""
+    inner = inner.strip()
+    if inner == "*":
+        return "star", None
+    if inner.removeprefix("-").isdecimal():
+        return "index", int(inner)
+    for quote in "'\"":
+        if len(inner) >= 2 and inner[0] == inner[-1] == quote and quote not in inner[1:-1]:
+            return "key", inner[1:-1]
+    return None
+
+
 def tokens(expr: str) -> list[tuple[str, object]]:
     """Steps of a path; characters that fit no step are skipped, a bare name is a key."""
-    expr = expr.strip()
-    body = expr[1:] if expr.startswith("$") else expr
+    body = expr.strip().removeprefix("$")
     out: list[tuple[str, object]] = []
-    for m in _TOKEN.finditer(body):
-        if m["deep"]:
-            out.append(("deep", m["deep"]))
-        elif m["idx"]:
-            out.append(("index", int(m["idx"])))
-        elif m["star"]:
-            out.append(("star", None))
-        else:
-            out.append(("key", m["key"] or m["q1"] or m["q2"] or ""))
+    at = 0
+    while at < len(body):
+        step, after = None, at + 1
+        if body[at] == ".":
+            dots = 2 if body.startswith("..", at) else 1
+            end = _name_end(body, at + dots)
+            if end > at + dots:
+                step, after = ("deep" if dots == 2 else "key", body[at + dots:end]), end
+        elif body[at] == "[":
+            quote = body[at + 1:].lstrip()[:1]
+            close = body.find("]", body.find(quote, body.find(quote, at) + 1) if quote in ("'", '"') else at)
+            if close > at:
+                step = _bracket(body[at + 1:close])
+                after = close + 1 if step else after
+        if step:
+            out.append(step)
+        at = after
     if not out and body.strip():
         return [("key", body.strip())]
     return out

@@ -175,8 +175,10 @@ def url_slug(c) -> Column:
     )
     slug = F.regexp_replace(raw, r"[^\p{L}\p{N}._\-]", "_")
     slug = F.regexp_replace(slug, r"^[._\-]+|[._\-]+$", "")
-    return F.when(c == "", "_no_url").otherwise(
-        F.substring(F.when(slug == "", "site").otherwise(slug), 1, 80)
+    slug = F.when(slug == "", "site").otherwise(slug)
+    # a longer one keeps its URLs apart by a digest; the length fits any file system
+    return F.when(c == "", "_no_url").when(F.length(slug) <= 80, slug).otherwise(
+        F.concat(F.substring(slug, 1, 69), F.lit("_"), F.substring(F.sha1(raw), 1, 10))
     )
 
 
@@ -211,7 +213,8 @@ def safe_filename(url, fallback_ext: str = ".bin") -> Column:
 
 def guess_extension(content_type, url, default: str = ".bin") -> Column:
     """Extension by content type, then by URL suffix, then *default*."""
-    table = {t: mimetypes.guess_extension(t) for t in set(mimetypes.types_map.values())}
+    known = mimetypes.MimeTypes()  # Python's own table, without the files of this machine
+    table = {t: known.guess_extension(t) for t in set(known.types_map[True].values())}
     table = {t: (".jpg" if e == ".jpe" else e) for t, e in table.items() if e}
     table.update(EXTRA_TYPES)
     lookup = F.create_map(*[F.lit(x) for t in sorted(table) for x in (t, table[t])])

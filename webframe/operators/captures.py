@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,6 @@ from webframe.functions import text as T
 from webframe.functions.common import let
 
 CAPTURE_TYPES = ("xhr", "fetch", "websocket")
-MAX_BODY = 1_000_000
 TOP_MIME = 10
 
 # Names under which a response keeps its list of records.
@@ -19,21 +19,24 @@ LIST_KEYS = ("data", "list", "items", "results", "records", "rows", "content")
 MAX_GUESSED_FIELDS = 12
 
 
-def parse_body(df: DataFrame, max_body: int = MAX_BODY) -> DataFrame:
-    """Add ``body_json`` (the text, when it is JSON worth parsing) and bound ``body_text``.
+def parse_body(df: DataFrame, max_body: int | None = None) -> DataFrame:
+    """Add ``body_json``: the text, when it is JSON worth parsing.
 
-    A body whose declared length is over the bound is blanked before parsing; a
+    With ``max_body`` texts are bounded: a body whose declared length is over the bound is blanked before parsing; a
     longer one without a declaration is parsed whole and stored head and tail.
     """
     mime = F.lower(F.coalesce("mime_type", F.lit("")))
     declared = F.try_element_at("response_headers", F.lit("content-length")).try_cast("long")
-    body = F.when(F.coalesce(declared > max_body, F.lit(False)), "").otherwise(F.col("body_text"))
+    body = F.col("body_text")
+    if max_body is not None:
+        body = F.when(F.coalesce(declared > max_body, F.lit(False)), "").otherwise(body)
     first = F.substring(F.ltrim(body), 1, 1)
     wanted = mime.contains("json") | (mime.isin("", "text/plain") & first.isin("{", "["))
     valid = wanted & F.try_parse_json(body).isNotNull()
-    return df.withColumn("body_json", F.when(valid, body)).withColumn(
-        "body_text", F.when(body.isNotNull(), T.truncate_middle(body, max_body))
-    )
+    out = df.withColumn("body_json", F.when(valid, body))
+    if max_body is None:
+        return out
+    return out.withColumn("body_text", F.when(body.isNotNull(), T.truncate_middle(body, max_body)))
 
 
 def capturable(df: DataFrame, types: Sequence[str] = CAPTURE_TYPES) -> DataFrame:
@@ -41,6 +44,11 @@ def capturable(df: DataFrame, types: Sequence[str] = CAPTURE_TYPES) -> DataFrame
     return df.where(F.col("resource_type").isin(*types) & ~F.col("url").startswith("data:") & ~F.col("url").startswith("blob:"))
 
 
+def _java_syntax(pattern: str) -> str:
+    """Named groups and their references as Java writes them."""
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+
+
 def _java_regex_ok(spark: SparkSession, pattern: str) -> bool:
     try:
         spark._jvm.java.util.regex.Pattern.compile(pattern)
@@ -53,10 +61,14 @@ def filter_captures(
     df: DataFrame, url_pattern: str = "", mime: str = "", status: int | None = None,
     has_json: bool | None = None, resource: str = "", limit: int | None = None,
 ) -> DataFrame:
-    """Newest first. A pattern that is no regex is searched for as text, ignoring case."""
+    """Matching requests; with ``limit`` the newest ones, newest first.
+
+    A pattern that is no regex is searched for as text, ignoring case.
+    """
     if url_pattern:
-        if _java_regex_ok(df.sparkSession, url_pattern):
-            df = df.where(F.col("url").rlike(url_pattern))
+        regex = _java_syntax(url_pattern)
+        if _java_regex_ok(df.sparkSession, regex):
+            df = df.where(F.col("url").rlike(regex))
         else:
             df = df.where(F.contains(F.lower("url"), F.lit(url_pattern.lower())))
     if mime:
@@ -67,8 +79,7 @@ def filter_captures(
         df = df.where(F.col("body_json").isNotNull() if has_json else F.col("body_json").isNull())
     if resource:
         df = df.where(F.col("resource_type") == resource)
-    df = df.orderBy(F.col("timestamp").desc(), F.col("id").desc())
-    return df.limit(limit) if limit else df
+    return df.orderBy(F.col("timestamp").desc(), F.col("id").desc()).limit(limit) if limit else df
 
 
 def capture_stats(df: DataFrame, sockets: DataFrame | None = None) -> DataFrame:

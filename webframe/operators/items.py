@@ -15,12 +15,9 @@ from webframe.plans.ordering import running_sum, sequence_number, top_per_key
 # Default capacities.
 MAX_ITEMS = 500
 MAX_CAPTURES = 5000
-MAX_SEEN = 20000
 MAX_EVENTS = 200
 LIMIT_KEYS = ("max_items", "max_images", "max_files", "max_songs")
 GROW_HEIGHT, GROW_NODES = 40, 3
-COLUMN_SAMPLE, COLUMN_LIMIT = 200, 24
-NAME_TRIES = 50
 
 
 def not_empty_row(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -62,14 +59,15 @@ def incremental(items: DataFrame, seen: DataFrame, key: str = "content_hash") ->
     return items.join(seen.select(key).distinct(), key, "left_anti")
 
 
-def seen_after(seen: DataFrame, new: DataFrame, capacity: int = MAX_SEEN) -> DataFrame:
-    """State after a run: old hashes keep their place, new ones follow, oldest fall out."""
+def seen_after(seen: DataFrame, new: DataFrame, capacity: int | None = None) -> DataFrame:
+    """State after a run: old hashes keep their place, new ones follow; beyond a ``capacity`` the oldest fall out."""
     base = seen.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m"))
     fresh = new.groupBy("content_hash").agg(F.min("seq").alias("seq")).join(
         seen.select("content_hash").distinct(), "content_hash", "left_anti"
     )
     moved = fresh.withColumn("seq", F.col("seq") + F.lit(1) + base.scalar())
-    return latest_n(seen.select("content_hash", "seq").unionByName(moved), capacity, ["seq"])
+    state = seen.select("content_hash", "seq").unionByName(moved)
+    return state if capacity is None else latest_n(state, capacity, ["seq"])
 
 
 def latest_n(df: DataFrame, n: int, order: Sequence[str], per: Sequence[str] = ()) -> DataFrame:
@@ -172,7 +170,7 @@ def unique_names(files: DataFrame, order: Sequence[str], folder: str = "folder")
     ranked = sequence_number(named, [folder, "_stem", "_ext"], order)
     n = F.col("rn")
     new = (
-        F.when((F.col("_stem") == "") | (n > NAME_TRIES), F.col("filename"))
+        F.when(F.col("_stem") == "", F.col("filename"))
         .when(n == 1, F.concat("_stem", "_ext"))
         .otherwise(F.concat("_stem", F.lit(" ("), n.cast("string"), F.lit(")"), "_ext"))
     )
@@ -194,16 +192,18 @@ def upsert_latest(base: DataFrame, incoming: DataFrame, keys: Sequence[str], seq
 
 
 def infer_columns(
-    df: DataFrame, data: str = "data", seq: str = "seq", sample: int = COLUMN_SAMPLE, limit: int = COLUMN_LIMIT
+    df: DataFrame, data: str = "data", seq: str = "seq", sample: int | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Column order of a table of maps: keys of the first rows in first-seen order."""
-    head = df.select(seq, data).orderBy(seq).limit(sample)
+    """Columns of a table of maps in first-seen order; of the first ``sample`` rows and ``limit`` columns only if asked.
+
+    One small aggregate per task: the number of rows does not matter.
+    """
+    head = df.select(seq, data)
+    head = head if sample is None else head.orderBy(seq).limit(sample)
     keys = head.select(seq, F.posexplode(F.map_keys(data)).alias("pos", "column"))
-    return (
-        keys.groupBy("column").agg(F.min(F.struct(seq, "pos")).alias("first"))
-        .orderBy("first").limit(limit)
-        .select("column", F.col(f"first.{seq}").alias("first_seq"), F.col("first.pos").alias("first_pos"))
-    )
+    found = keys.groupBy("column").agg(F.min(F.struct(seq, "pos")).alias("first")).orderBy("first")
+    found = found if limit is None else found.limit(limit)
+    return found.select("column", F.col(f"first.{seq}").alias("first_seq"), F.col("first.pos").alias("first_pos"))
 
 
 def add_fields(df: DataFrame, consts: dict[str, object]) -> DataFrame:

@@ -19,14 +19,14 @@ from webframe.functions.urls import absolute_media_url, inner_urls, url_part
 from webframe.operators import selectors as S
 from webframe.plans.ordering import sequence_number, top_per_key
 
-MIN_SCORE, MAX_SNIFFED = 20, 80
+MIN_SCORE = 20
 TEXT_URL = r"https?://[^\s\"'<>\\]{12,500}"
 
 
 def sniff_media_urls(
-    captures: DataFrame, run: Sequence[str] = ("page_url",), min_score: int = MIN_SCORE, limit: int = MAX_SNIFFED
+    captures: DataFrame, run: Sequence[str] = ("page_url",), min_score: int = MIN_SCORE, limit: int | None = None
 ) -> DataFrame:
-    """Media addresses in captured responses, best first, at most ``limit`` per run.
+    """Media addresses in captured responses, best first, of each run; at most ``limit`` of them if given.
 
     Every string in a JSON body (or every URL in a text body) is scored; URLs
     carried in the query of an accepted one are scored too. An address counts
@@ -70,9 +70,12 @@ def sniff_media_urls(
     rest = [c for c in both.columns if c not in run]
     first = both.withColumn("_key", F.split_part("url", F.lit("#"), F.lit(1)))
     first = first.groupBy(*run, "_key").agg(F.min_by(F.struct(*rest), F.struct("id", "pos", "depth")).alias("r")).select(*run, "r.*")
-    return top_per_key(
-        first.where(F.col("score") >= min_score), run, [F.desc("score"), F.length("url"), F.col("url")], limit
-    ).drop("depth").withColumnRenamed("rn", "position")
+    good = first.where(F.col("score") >= min_score).drop("depth")
+    if limit is not None:
+        return top_per_key(good, run, [F.desc("score"), F.length("url"), F.col("url")], limit, "position")
+    # higher scores first, then shorter addresses: one number that spreads well
+    placed = good.withColumn("_o", F.length("url") - F.col("score") * F.lit(100_000))
+    return sequence_number(placed, run, ["_o", "url"], "position").drop("_o")
 
 
 def item_urls(items: DataFrame, field: str, exts: Sequence[str] = (), keys: Sequence[str] = ("page_id", "item_id")) -> DataFrame:
@@ -95,8 +98,8 @@ def dom_urls(nodes: DataFrame, selector: str, attribute: str = "src") -> DataFra
     return S.select_nodes(nodes, selector).select("page_id", "node_id", value.alias("url")).where("url is not null and url != ''")
 
 
-def collect_media_urls(parts: Sequence[DataFrame], pages: DataFrame, limits: DataFrame | None = None, default: int = 200) -> DataFrame:
-    """Union of address sources, absolute, first seen per page, up to the page's limit.
+def collect_media_urls(parts: Sequence[DataFrame], pages: DataFrame, limits: DataFrame | None = None, default: int | None = None) -> DataFrame:
+    """Union of address sources, absolute, first seen per page, up to the page's limit (or the default one) where there is one.
 
     Each part has ``page_id``, ``url`` and a sort key ``seq``; parts come in the
     given order. Duplicates are reduced map-side before positions are counted.
@@ -112,8 +115,9 @@ def collect_media_urls(parts: Sequence[DataFrame], pages: DataFrame, limits: Dat
     ranked = sequence_number(first.withColumn("_o", F.col("part") * F.lit(1 << 40) + F.col("seq")), ["page_id"], ["_o", "url"], "position").drop("_o")
     if limits is not None:
         ranked = ranked.join(limits.select("page_id", F.col("limit").alias("_l")), "page_id", "left")
-        return ranked.where(F.col("position") <= F.coalesce("_l", F.lit(default))).drop("_l")
-    return ranked.where(F.col("position") <= default)
+        most = F.coalesce("_l", F.lit(default).cast("long"))
+        return ranked.where(most.isNull() | (F.col("position") <= most)).drop("_l")
+    return ranked if default is None else ranked.where(F.col("position") <= default)
 
 
 def pattern_urls(items: DataFrame, pattern: str, text: str = "data") -> DataFrame:

@@ -10,16 +10,13 @@ from pyspark.sql import functions as F
 from webframe.functions import text as T
 from webframe.operators.structure import LAZY_ATTRS, SKIP_TAGS, stable_classes
 
-# Bounds of the reports and what they look for.
-MAX_MICRODATA, MICRODATA_TEXT = 50, 200
-BODY_TEXT, MAIN_TEXT = 8000, 4000
-HEADING_TEXT, ERROR_TEXT, MAX_ERRORS = 160, 300, 8
-MAX_BUTTONS, BUTTON_TEXT, MAX_AUTH, AUTH_TEXT = 25, 40, 10, 30
+# What the reports look for.
 ERROR_CLASS = ("error", "alert", "notice", "warn", "tip", "message")
 AUTH_HREF = r"(?i)login|signin|sign-in|auth|register|signup|passport"
 CAPTCHA_SRC = ("captcha", "recaptcha", "hcaptcha", "turnstile", "challenge")
 CAPTCHA_CLASS = ("captcha", "geetest", "slider", "turnstile")
 ROLE_ORDER = ("heading", "error", "form", "captcha", "button", "message", "link", "meta")
+#: How many texts of a role a short report for a person shows.
 ROLE_LIMITS = {"heading": 6, "error": 6, "form": 4, "captcha": 3, "button": 8, "message": 6, "link": 8, "meta": 4}
 TREE_DEPTH, TREE_NODES, TREE_CHILDREN, TREE_INDENT = 24, 1200, 80, 12
 TREE_TEXT, TREE_HREF, TREE_URL = 60, 80, 150
@@ -59,7 +56,7 @@ def structured_metadata(nodes: DataFrame) -> DataFrame:
     """JSON-LD blocks, ``og:``/``twitter:`` values and microdata of every page.
 
     ``json_ld`` keeps the JSON texts that parse; of repeated meta names the last
-    one counts; at most fifty microdata elements, in document order.
+    one counts; microdata elements are in document order.
     """
     is_ld = (F.col("tag") == "script") & (_attr("type") == "application/ld+json") & F.try_parse_json("own_text").isNotNull()
     prop, name = _attr("property"), _attr("name")
@@ -68,16 +65,14 @@ def structured_metadata(nodes: DataFrame) -> DataFrame:
     content = F.when(has("content"), _attr("content")).when(has("href"), _attr("href")).when(has("src"), _attr("src"))
     micro = F.struct(
         _attr("itemprop").alias("itemprop"), F.col("tag").alias("tag"), content.alias("content"),
-        F.when(content.isNull(), F.substring("text", 1, MICRODATA_TEXT)).alias("text"),
+        F.when(content.isNull(), F.col("text")).alias("text"),
     )
     rows = nodes.where(is_ld | is_og | has("itemprop")).withColumn("_m", has("itemprop"))
-    w = Window.partitionBy("page_id", "_m").orderBy("node_id")
-    rows = rows.withColumn("_n", F.row_number().over(w))
     key = F.when(prop != "", prop).otherwise(name)
     got = rows.groupBy("page_id").agg(
         _ordered(F.trim(F.col("own_text")), is_ld).alias("json_ld"),
         _ordered(F.struct(key.alias("k"), _attr("content").alias("v")), is_og).alias("_og"),
-        _ordered(micro, F.col("_m") & (F.col("_n") <= MAX_MICRODATA)).alias("microdata"),
+        _ordered(micro, F.col("_m")).alias("microdata"),
     )
     last = F.filter("_og", lambda p, i: ~F.exists(F.slice("_og", i + 2, F.greatest(F.size("_og"), F.lit(1))), lambda q: q["k"] == p["k"]))
     return got.withColumn("open_graph", F.map_from_entries(last)).select("page_id", "json_ld", "open_graph", "microdata")
@@ -118,10 +113,10 @@ def page_text(nodes: DataFrame) -> DataFrame:
     is_form = (tag == "form") & shown
     is_pw = (tag == "input") & (F.lower(_attr("type")) == "password")
     is_button = (tag == "button") | ((tag == "input") & (F.lower(_attr("type")) == "submit")) | (_attr("role") == "button") | ((tag == "a") & F.arrays_overlap("classes", F.array(F.lit("button"), F.lit("btn"))))
-    label = F.substring(F.when(F.trim("text") != "", F.trim("text")).otherwise(F.trim(_attr("value"))), 1, BUTTON_TEXT)
+    label = F.when(F.trim("text") != "", F.trim("text")).otherwise(F.trim(_attr("value")))
     href = _attr("href")
     is_auth = (tag == "a") & href.rlike(AUTH_HREF)
-    auth = F.struct(F.when(F.trim("text") == "", href).otherwise(F.substring(F.trim("text"), 1, AUTH_TEXT)).alias("text"), href.alias("href"), element_selector().alias("selector"))
+    auth = F.struct(F.when(F.trim("text") == "", href).otherwise(F.trim("text")).alias("text"), href.alias("href"), element_selector().alias("selector"))
     src = F.lower(_attr("src"))
     is_captcha = shown & (
         ((tag == "iframe") & reduce(Column.__or__, [src.contains(c) for c in CAPTCHA_SRC]))
@@ -134,15 +129,15 @@ def page_text(nodes: DataFrame) -> DataFrame:
     is_meta = (tag == "meta") & meta_key.rlike(r"(?i)error|status|code|message|title|description") & (_attr("content") != "") & (F.length(_attr("content")) < 300)
     out = d.groupBy("page_id").agg(
         F.coalesce(F.min_by("text", F.when(tag == "title", F.col("node_id"))), F.lit("")).alias("title"),
-        F.coalesce(F.min_by(F.substring(t, 1, BODY_TEXT), F.when(tag == "body", F.col("node_id"))), F.lit("")).alias("body_text"),
-        F.substring(F.array_join(_ordered(F.col("own_text"), in_main & shown & (F.col("own_text") != "")), "\n"), 1, MAIN_TEXT).alias("main_text"),
-        _ordered(F.struct("tag", element_selector().alias("selector"), F.substring(t, 1, HEADING_TEXT).alias("text")), tag.isin("h1", "h2", "h3") & shown & (t != "")).alias("headings"),
-        F.slice(_ordered(F.struct(element_selector().alias("selector"), F.substring(t, 1, ERROR_TEXT).alias("text")), is_error), 1, MAX_ERRORS).alias("error_blocks"),
+        F.coalesce(F.min_by(t, F.when(tag == "body", F.col("node_id"))), F.lit("")).alias("body_text"),
+        F.array_join(_ordered(F.col("own_text"), in_main & shown & (F.col("own_text") != "")), "\n").alias("main_text"),
+        _ordered(F.struct("tag", element_selector().alias("selector"), t.alias("text")), tag.isin("h1", "h2", "h3") & shown & (t != "")).alias("headings"),
+        _ordered(F.struct(element_selector().alias("selector"), t.alias("text")), is_error).alias("error_blocks"),
         _ordered(F.struct("node_id", element_selector().alias("selector"), _attr("action").alias("action"), F.lower(F.when(_attr("method") == "", "get").otherwise(_attr("method"))).alias("method")), is_form).alias("_forms"),
         _ordered(F.struct(F.col("_form").alias("form"), F.when(_attr("name") != "", _attr("name")).otherwise(_attr("type")).alias("name"), is_pw.alias("pw")), is_input & F.col("_form").isNotNull()).alias("_inputs"),
         F.count_if(is_pw & shown).alias("password_inputs"),
-        F.slice(F.array_distinct(_ordered(label, is_button & shown & (label != ""))), 1, MAX_BUTTONS).alias("buttons"),
-        F.slice(_ordered(auth, is_auth), 1, MAX_AUTH).alias("auth_links"),
+        F.array_distinct(_ordered(label, is_button & shown & (label != ""))).alias("buttons"),
+        _ordered(auth, is_auth).alias("auth_links"),
         _ordered(element_selector(), is_captcha).alias("captcha"),
         _ordered(F.struct(meta_key.alias("k"), _attr("content").alias("v")), is_meta).alias("meta"),
         F.count("*").alias("dom_nodes"),
@@ -153,14 +148,14 @@ def page_text(nodes: DataFrame) -> DataFrame:
         lambda f: F.struct(
             f["selector"].alias("selector"), f["action"].alias("action"), f["method"].alias("method"),
             F.exists("_inputs", lambda i: (i["form"] == f["node_id"]) & i["pw"]).alias("has_password"),
-            F.slice(F.transform(F.filter("_inputs", lambda i: i["form"] == f["node_id"]), lambda i: i["name"]), 1, 6).alias("inputs"),
+            F.transform(F.filter("_inputs", lambda i: i["form"] == f["node_id"]), lambda i: i["name"]).alias("inputs"),
         ),
     )
     return out.withColumn("forms", forms).drop("_forms", "_inputs")
 
 
-def text_elements(pt: DataFrame) -> DataFrame:
-    """Key texts of a page by role, equal ones once, each role bounded."""
+def text_elements(pt: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Key texts of a page by role, equal ones once; with ``limits`` (such as ``ROLE_LIMITS``) the first of each role."""
     role = lambda r, sel, tag, text: F.struct(F.lit(ROLE_ORDER.index(r)).alias("o"), F.lit(r).alias("role"), tag.alias("tag"), sel.alias("selector"), text.alias("text"))
     form_text = lambda f: F.concat(
         F.lit("form "), F.upper(f["method"]), F.lit(" "), F.when(f["action"] == "", "(this page)").otherwise(f["action"]),
@@ -168,18 +163,20 @@ def text_elements(pt: DataFrame) -> DataFrame:
         F.when(f["has_password"], " with password").otherwise(""),
     )
     parts = F.concat(
-        F.transform("headings", lambda h: role("heading", h["selector"], h["tag"], T.flatten_text(h["text"], 160))),
-        F.transform("error_blocks", lambda e: role("error", e["selector"], F.lit("div"), T.flatten_text(e["text"], 300))),
+        F.transform("headings", lambda h: role("heading", h["selector"], h["tag"], T.flatten_text(h["text"], None))),
+        F.transform("error_blocks", lambda e: role("error", e["selector"], F.lit("div"), T.flatten_text(e["text"], None))),
         F.transform("forms", lambda f: role("form", f["selector"], F.lit("form"), form_text(f))),
         F.transform("captcha", lambda c: role("captcha", c, F.lit("div"), F.lit("challenge element"))),
-        F.transform("buttons", lambda b: role("button", F.lit(""), F.lit("button"), T.flatten_text(b, 40))),
+        F.transform("buttons", lambda b: role("button", F.lit(""), F.lit("button"), T.flatten_text(b, None))),
     )
     rows = pt.select("page_id", F.posexplode(parts).alias("i", "e")).select("page_id", "i", "e.*").where("text != ''")
-    once = Window.partitionBy("page_id", "role", F.substring("text", 1, 50)).orderBy("i")
+    once = Window.partitionBy("page_id", "role", "text").orderBy("i")
     rows = rows.withColumn("_d", F.row_number().over(once)).where("_d = 1")
     cap = Window.partitionBy("page_id", "role").orderBy("i")
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in ROLE_LIMITS.items() for x in kv]), F.col("role"))
-    rows = rows.withColumn("pos", F.row_number().over(cap)).where(F.col("pos") <= limit)
+    rows = rows.withColumn("pos", F.row_number().over(cap))
+    if limits:
+        most = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("role"))
+        rows = rows.where(most.isNull() | (F.col("pos") <= most))
     return rows.select("page_id", "o", "pos", "role", "tag", "selector", "text")
 
 

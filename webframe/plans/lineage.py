@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_TABLES: list[str] = []
+
+
+def drop_tables() -> None:
+    """Delete the tables that this program has cut; runs by itself when the program ends."""
+    spark = SparkSession.getActiveSession()
+    while _TABLES and spark is not None:
+        path = _TABLES.pop()
+        with contextlib.suppress(Exception):  # the session may be gone
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+atexit.register(drop_tables)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -39,5 +55,6 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     schema = df.schema
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

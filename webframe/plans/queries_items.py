@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webframe.functions.urls import url_slug
@@ -13,10 +17,12 @@ from webframe.operators.extract import extract_json as items_of_json
 from webframe.operators.extract import finish_rows
 from webframe.operators.rules import Field, Rule
 from webframe.plans.catalog import query, table
+from webframe.plans.lineage import shared_folder
 from webframe.plans.ordering import sequence_number
 from webframe.plans.steps import Step, register_jsonpath_rows, run_steps
-from webframe.sources.captures import events_as_captures
+from webframe.sources.captures import events_as_captures, read_captures
 from webframe.sources.sinks import fetch_recent as recent_rows
+from webframe.sources.sinks import write_items as write
 from webframe.sources.sinks import hashed_rows, new_rows, notify_payload as payload
 from webframe.streaming.jobs import stats_by_window
 
@@ -57,7 +63,7 @@ def incremental(spark, sf):
 
 @query(
     """WITH s AS (SELECT md5(text) AS h, min(doc_id) AS seq FROM documents WHERE lang = 'en' GROUP BY 1), n AS (SELECT md5(text) AS h, min(doc_id) AS seq FROM documents WHERE lang <> 'en' GROUP BY 1)
-    SELECT h AS content_hash, seq FROM (SELECT h, seq FROM s UNION ALL SELECT h, seq + 1 + (SELECT max(seq) FROM s) FROM n WHERE h NOT IN (SELECT h FROM s)) ORDER BY seq DESC LIMIT 20000"""
+    SELECT h AS content_hash, seq FROM (SELECT h, seq FROM s UNION ALL SELECT h, seq + 1 + (SELECT max(seq) FROM s) FROM n WHERE h NOT IN (SELECT h FROM s))"""
 )
 def seen_state(spark, sf):
     d = _docs(spark, sf).withColumn("content_hash", F.md5("text"))
@@ -153,7 +159,7 @@ def upsert_latest(spark, sf):
     return I.upsert_latest(base, new, ["k"])
 
 
-@query("SELECT 'k' AS \"column\", 0 AS first_pos UNION ALL SELECT DISTINCT event_type, 1 FROM (SELECT * FROM events ORDER BY event_id LIMIT 200)")
+@query("SELECT 'k' AS \"column\", 0 AS first_pos UNION ALL SELECT DISTINCT event_type, 1 FROM events")
 def infer_columns(spark, sf):
     d = _events(spark, sf).select(F.col("event_id").alias("seq"), F.create_map(F.lit("k"), F.col("props"), "event_type", F.col("value").cast("string")).alias("data"))
     return I.infer_columns(d).select("column", "first_pos")
@@ -174,9 +180,40 @@ def field_coverage(spark, sf):
     return I.field_coverage(d, ["a", "b"])
 
 
+@query(" UNION ALL ".join(f"SELECT '{f}' AS fmt, lang, count(*) AS n, sum(n_chars)::BIGINT AS n_chars FROM documents GROUP BY 2" for f in ("csv", "json", "jsonl", "parquet")))
+def write_items(spark, sf):
+    """Items written in each format and read back."""
+    items = _docs(spark, sf).select("doc_id", "lang", "n_chars")
+    back = []
+    for fmt in ("csv", "json", "jsonl", "parquet"):
+        path = f"{shared_folder(spark)}/items-{fmt}-{uuid.uuid4().hex}"
+        write(items, path, fmt)
+        if fmt == "csv":
+            d = spark.read.option("header", "true").csv(path)
+        elif fmt == "json":
+            lines = spark.read.text(path).select(F.regexp_replace("value", r"^[\[,]\s*|\]$", "").alias("v")).where("v <> ''")
+            d = lines.select(F.from_json("v", "doc_id bigint, lang string, n_chars bigint").alias("r")).select("r.*")
+        else:
+            d = spark.read.json(path) if fmt == "jsonl" else spark.read.parquet(path)
+        back.append(d.select(F.lit(fmt).alias("fmt"), "lang", F.col("n_chars").cast("bigint").alias("n_chars")))
+    return reduce(DataFrame.union, back).groupBy("fmt", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
 # ---- captures ------------------------------------------------------------------
 
 
+@query(
+    """SELECT CASE WHEN event_type = 'view' THEN 'document' ELSE 'xhr' END AS resource_type, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, count(*) AS n,
+    count(DISTINCT user_id) AS n_pages FROM events GROUP BY 1, 2"""
+)
+def captures_from_log(spark, sf):
+    """The capture log written as JSON lines and read with the fixed schema."""
+    path = f"{shared_folder(spark)}/captures-{uuid.uuid4().hex}"
+    events_as_captures(_events(spark, sf)).drop("event_type", "user_id", "value", "ts").write.json(path)
+    log = read_captures(spark, path).where("_corrupt_record IS NULL")
+    return log.groupBy("resource_type", "status").agg(F.count("*").alias("n"), F.countDistinct("page_url").alias("n_pages"))
+
+
 @query("SELECT event_type, count(*) AS n, count(*) AS with_json FROM events GROUP BY 1")
 def parse_body(spark, sf):
     return _captures(spark, sf).groupBy("event_type").agg(F.count("*").alias("n"), F.count("body_json").alias("with_json"))
@@ -219,10 +256,10 @@ def largest_json(spark, sf):
 
 @query(
     """SELECT event_id::VARCHAR AS id, CASE WHEN event_type IN ('click', 'view', 'error') THEN 'GET' END AS method, CASE WHEN event_type IN ('click', 'purchase') THEN 200 END AS status,
-    CASE WHEN event_type IN ('click', 'view', 'error') AND event_type <> 'view' THEN round(value * 1000, 2) END AS duration_ms FROM events WHERE event_type <> 'signup'"""
+    CASE WHEN event_type IN ('click', 'view', 'error') AND event_type <> 'view' THEN round(value * 1000, 2) END AS duration_ms FROM events"""
 )
 def correlate(spark, sf):
-    e = _events(spark, sf).where("event_type <> 'signup'").withColumn("id", F.col("event_id").cast("string"))
+    e = _events(spark, sf).withColumn("id", F.col("event_id").cast("string"))
     req = e.where("event_type in ('click', 'view', 'error')").select("id", F.lit("GET").alias("method"), F.lit(100.0).alias("timestamp"))
     res = e.where("event_type in ('click', 'purchase')").select("id", F.lit(200).alias("status"))
     end = e.where("event_type <> 'view'").select("id", (F.lit(100.0) + F.col("value")).alias("end_ts"))
@@ -246,7 +283,7 @@ def extract_json(spark, sf):
 @query(
     """WITH c AS (SELECT 'https://app.example.com/u/' || user_id AS page_url, event_id::VARCHAR AS id, 'https://cdn.example.com/' || user_id || '/' || event_id || '.mp3' AS url FROM events),
     i AS (SELECT page_url, id, url, 82 AS score FROM c UNION ALL SELECT page_url, id, 'https://proxy.example.com/get?file=' || replace(replace(url, ':', '%3A'), '/', '%2F'), 82 FROM c)
-    SELECT page_url, url, score FROM (SELECT *, row_number() OVER (PARTITION BY page_url ORDER BY score DESC, length(url), url) AS rn FROM i) WHERE rn <= 80"""
+    SELECT page_url, url, score FROM i"""
 )
 def sniff_media_urls(spark, sf):
     """Responses made from the events: a media link wrapped in a proxy link, a cover picture, a client download."""

@@ -249,11 +249,10 @@ def spa_shell(spark, sf):
     return d.select("doc_id", T.looks_like_spa_shell("text", "i", "n").alias("shell"))
 
 
-@query("SELECT doc_id, 1 + n_chars % 100 AS wanted FROM documents WHERE NOT regexp_matches(lower(text), '(first|top|limit|max|count)\\s*[:=]?\\s*\\d|[0-9]\\s*(张|幅|首|个)')")
+@query("SELECT doc_id, 1 + n_chars % 100 AS wanted FROM documents")
 def parse_count(spark, sf):
     goal = F.concat("text", F.lit(" get the first "), (F.col("n_chars") % 100 + 1).cast("string"), F.lit(" items"))
-    d = table(spark, sf, "documents").where(~F.lower("text").rlike(r"(first|top|limit|max|count)\s*[:=]?\s*\d|[0-9]\s*(张|幅|首|个)"))
-    return d.select("doc_id", T.parse_count(goal).cast("bigint").alias("wanted"))
+    return table(spark, sf, "documents").select("doc_id", T.parse_count(goal).cast("bigint").alias("wanted"))
 
 
 @query(
@@ -277,10 +276,10 @@ def coerce_values(spark, sf):
 
 
 @query(
-    """SELECT conv_id, turn, '{"n": ' || length(text) || ', "q": "a}b"}' AS block FROM conversations WHERE NOT regexp_matches(text, '[\\[{]') AND NOT contains(text, '```')"""
+    """SELECT conv_id, turn, '{"n": ' || length(text) || ', "q": "a}b"}' AS block FROM conversations"""
 )
 def json_block(spark, sf):
-    c = table(spark, sf, "conversations").where(~F.col("text").rlike(r"[\[{]") & ~F.col("text").contains("```"))
+    c = table(spark, sf, "conversations")
     t = F.concat("text", F.lit(' {"n": '), F.length("text").cast("string"), F.lit(', "q": "a}b"} and more'))
     return c.select("conv_id", "turn", T.json_block(t).alias("block"))
 

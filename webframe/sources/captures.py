@@ -26,8 +26,8 @@ def _defaults(df: DataFrame) -> DataFrame:
     )
 
 
-def read_captures(spark: SparkSession, path: str, keep_bad: bool = False) -> DataFrame:
-    """Capture log with a fixed schema; unreadable lines are dropped, or kept for inspection."""
+def read_captures(spark: SparkSession, path: str, keep_bad: bool = True) -> DataFrame:
+    """Capture log with a fixed schema; unreadable lines are kept in ``_corrupt_record`` unless asked otherwise."""
     df = spark.read.schema(f"{CAPTURE}, {_BAD} string").option("mode", "PERMISSIVE").option(
         "columnNameOfCorruptRecord", _BAD
     ).json(path)

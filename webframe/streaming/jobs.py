@@ -55,18 +55,29 @@ def stream_stats(captures: DataFrame, ts: str = "ts", window: str = "10 minutes"
     return stats_by_window(captures.withWatermark(ts, delay), ts, window, slide)
 
 
+def idle_ms(text: str) -> int:
+    """Milliseconds of "3 hours", "10 minutes" and the like."""
+    n, unit = text.split()
+    return int(float(n) * {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}[unit.removesuffix("s")])
+
+
 _GROWTH_OUT = "page_id bigint, rounds int, reason string, grew boolean, height_gain int, node_gain int"
 _GROWTH_STATE = "h0 int, n0 int, h1 int, n1 int, step int, round int, flat int, grew boolean, done boolean"
 
 
-def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page_id") -> DataFrame:
+def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page_id", idle: str = "24 hours") -> DataFrame:
     """Stop decision per page as soon as it can be made.
 
     State per page is one row of counters, whatever the length of its series.
-    Rounds of a page arrive in order; round 0 is the state before.
+    Rounds of a page arrive in order; round 0 is the state before. A page that
+    sends nothing for ``idle`` is forgotten, so the state does not grow for ever.
     """
+    forget = idle_ms(idle)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(batches)).sort_values("round")
         s = list(state.get) if state.exists else None
         for r in rows.itertuples(index=False):
@@ -92,9 +103,10 @@ def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page
                 )
         if s is not None:
             state.update(tuple(s))
+            state.setTimeoutDuration(forget)
 
     return series.groupBy(page).applyInPandasWithState(
-        step, _GROWTH_OUT, _GROWTH_STATE, "append", GroupStateTimeout.NoTimeout
+        step, _GROWTH_OUT, _GROWTH_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
