@@ -9,9 +9,9 @@
 All stages but the last return the columns of their input; a text that changes
 has its ``n_chars`` counted anew. Documents are told apart by doc_id; where it
 is repeated, its rows are kept or dropped together, except that one of exact
-repeats stays after stage 3. A null doc_id is never dropped as a duplicate of a
-document that has one, but loses to one; null and empty texts are documents
-without words, of which stage 3 keeps one.
+repeats stays after stage 3. A row without doc_id cannot name a component, so
+stage 3 keeps it. Null and empty texts are documents without words, of which
+stage 3 keeps one.
 """
 
 from __future__ import annotations
@@ -47,14 +47,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document that names its component stays; of repeated rows with that id, one."""
+    """The document that names its component stays; of repeated rows with that id, one. Rows without id stay."""
     found = simhash.near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    d = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    d = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
     sortable = [c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith(("map", "variant"))]
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`").asc_nulls_last() for c in sortable]))
     first = free_name(docs, "_first")
-    return d.withColumn(first, place).where(F.col(first) == 1).select(*[f"`{c}`" for c in docs.columns])
+    named = d.withColumn(first, place).where(F.col(first) == 1).select(*[f"`{c}`" for c in docs.columns])
+    return named.union(docs.where(F.col("doc_id").isNull()))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,7 @@ def test_stages_equal_brute_force(spark, folder):
         least[group[c]] = min(least.get(group[c], i), i)
     ours = sorted(i for i, _ in pairs(single) if i is not None)
     assert ours == sorted(least.values())
+    assert sum(i is None for i, _ in pairs(single)) == sum(i is None for i, _ in rows)
 
     clean = stages["decontaminate"](spark, docs, at)
     dirty = {x[0] for x in leaks(rows, [(1, "item word number one two three four five six seven")]) if x[-1]}
