@@ -39,7 +39,7 @@ def test_secret_scan_with_own_labels_and_without_any(spark, docs):
 
 
 def words(t):
-    return [w for w in (x.strip(".-+") for x in re.split(license_scan.WORD_SPLIT, (t or "").lower())) if w]
+    return [w for w in re.split(license_scan.WORD_SPLIT, (t or "").lower()) if w]
 
 
 def brute(rows, threshold=license_scan.THRESHOLD):

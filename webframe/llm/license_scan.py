@@ -5,7 +5,9 @@ Inverse document frequencies are counted over all documents. A unit can only
 reach the threshold against a template if it shares one of that template's
 heaviest words: the words that may be left out together weigh less than the
 threshold (by the Cauchy-Schwarz inequality). So only units with such a word
-are taken apart and scored, and nothing above the threshold is missed.
+are taken apart; of these a lower bound of their length drops most, and only
+the words of the others are counted in the corpus. Nothing above the threshold
+is missed.
 
 A file without a licence of its own takes that of the nearest directory above
 it that has one. Directories get theirs from licence files. The chain of
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from webframe.llm.common import saved
 
 THRESHOLD = 0.6
-WORD_SPLIT = r"[^a-z0-9.+\-]+"
+# Dots, dashes and plus signs belong to a word only between letters or digits.
+WORD_SPLIT = r"(?:[^a-z0-9.+\-]|[.+\-](?![a-z0-9])|(?<![a-z0-9])[.+\-])+"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 # Names, notices and opening sentences of public licences.
@@ -47,9 +50,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 
 def words_of(text: Column) -> Column:
-    """Lower-cased words without dots and dashes at their ends."""
-    w = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT), lambda x: F.trim(x, F.lit(".-+")))
-    return F.array_remove(w, "")
+    """Lower-cased words."""
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT), "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -63,6 +65,32 @@ def _frequencies(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return vocabulary.join(counted, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
 
 
+def _frequencies_of(docs: DataFrame, vocabulary: DataFrame, held: Column) -> DataFrame:
+    """The same for words that every text names itself, as a short array."""
+    counted = docs.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    return vocabulary.join(counted, "word", "left").select("word", F.coalesce("df", F.lit(0)).alias("df"))
+
+
+def _possible(tf: DataFrame, weights: DataFrame, known_idf: DataFrame, threshold: float) -> DataFrame:
+    """``_doc_id, _unit`` of the units that may reach the threshold, before the frequencies of their other words are known.
+
+    No inverse frequency is below one, so a unit's length is at least that with
+    one for every word that no template has.
+    """
+    parts = tf.join(known_idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
+    least = parts.groupBy("doc_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("least"))
+    least = least.select(F.col("doc_id").alias("_doc_id"), F.col("unit").alias("_unit"), "least")
+    dots = parts.join(weights.select("template", "word", "x"), "word").groupBy("doc_id", "unit", "template")
+    dots = dots.agg(F.sum(F.col("w") * F.col("x")).alias("dot")).groupBy("doc_id", "unit").agg(F.max("dot").alias("dot"))
+    found = dots.join(least, _same(["doc_id", "unit"])).where(F.col("dot") >= (threshold - 1e-9) * F.col("least"))
+    return saved(found.select("_doc_id", "_unit"))
+
+
+def _nothing(docs: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.sparkSession.createDataFrame([], f"doc_id {kind}, unit int, license string, score double")
+
+
 def _weights(units: DataFrame, unit: list[str], idf: DataFrame) -> DataFrame:
     """``unit..., word, x``: TF-IDF weights, scaled to length one per unit, of ``units(unit..., word, tf)``."""
     w = units.join(idf, "word").select(*unit, "word", (F.col("tf") * F.col("idf")).alias("w"))
@@ -85,27 +113,30 @@ def own_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     0), or -1 where the whole text fits best. Ties go to the earlier unit and
     template.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    known = saved((templates(spark) if known is None else known).select("template", "license", "text"))
+    known = saved((templates(docs.sparkSession) if known is None else known).select("template", "license", "text"))
     parts = known.select("template", F.explode(words_of(F.col("text"))).alias("word")).groupBy("template", "word").agg(F.count("*").alias("tf"))
     total = docs.count()
 
-    def idf(vocabulary: DataFrame) -> DataFrame:
-        return saved(_frequencies(docs, saved(vocabulary)).select("word", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")))
+    def idf(counted: DataFrame) -> DataFrame:
+        return saved(counted.select("word", (F.log((1.0 + total) / (1.0 + F.col("df"))) + 1).alias("idf")))
 
-    weights = saved(_weights(parts, ["template"], idf(parts.select("word").distinct())))
+    vocabulary = parts.select("word").distinct()
+    listed = F.array(*[F.lit(r["word"]) for r in vocabulary.collect()])  # the words of a few templates
+    if not known.limit(1).count() or not vocabulary.limit(1).count():
+        return _nothing(docs)
+    known_idf = idf(_frequencies_of(docs, vocabulary, F.array_intersect(words_of(F.col("text")), listed)))
+    weights = saved(_weights(parts, ["template"], known_idf))
     lighter = Window.partitionBy("template").orderBy("x", "word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     needed = weights.withColumn("rest", F.sqrt(F.sum(F.col("x") * F.col("x")).over(lighter))).where(F.col("rest") >= threshold)
-    heavy = needed.agg(F.collect_set("word")).first()[0]  # some words of a few templates
-    if not heavy:
-        return spark.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, unit int, license string, score double")
-    lines = docs.where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line"))
-    marks = F.array(*[F.lit(w) for w in sorted(heavy)])
-    whole = docs.where("text is not null").select("doc_id", F.lit(-1).alias("unit"), F.col("text").alias("line"))
-    units = lines.union(whole).select("doc_id", "unit", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", marks))
+    marks = F.array(*[F.lit(w) for w in sorted(needed.agg(F.collect_set("word")).first()[0])])
+    marked = docs.where(F.col("text").isNotNull() & F.arrays_overlap(words_of(F.col("text")), marks))
+    lines = marked.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line"))
+    units = lines.union(marked.select("doc_id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
+    units = units.select("doc_id", "unit", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", marks))
     tf = saved(units.select("doc_id", "unit", F.explode("w").alias("word")).groupBy("doc_id", "unit", "word").agg(F.count("*").alias("tf")))
-    mine = _weights(tf, ["doc_id", "unit"], idf(tf.select("word").distinct()))
+    tf = saved(tf.join(_possible(tf, weights, known_idf, threshold), _same(["doc_id", "unit"]), "left_semi"))
+    mine = _weights(tf, ["doc_id", "unit"], idf(_frequencies(docs, saved(tf.select("word").distinct()))))
     scored = mine.join(weights.select("template", "word", F.col("x").alias("y")), "word")
     scored = scored.groupBy("doc_id", "unit", "template").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
     scored = scored.where(F.col("score") >= threshold - 1e-9).join(known.select("template", "license"), "template")
