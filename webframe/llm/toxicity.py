@@ -45,7 +45,7 @@ DECAY = 1e-3
 INERTIA = 0.03
 GAIN = 32.0
 #: Labelled rows to learn from, of each label at most; the sample's only bound.
-SAMPLE = 3000
+SAMPLE = 2000
 MAX_WORDS = 400_000
 WORD = re.compile(r"\w+")
 
