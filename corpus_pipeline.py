@@ -2,7 +2,8 @@
 
 1. ``toxicity``: documents scored as toxic go;
 2. ``line_dedup``: later occurrences of repeated passages of three lines go;
-3. ``near_duplicates``: of each group of SimHash neighbours the smallest doc_id stays;
+3. ``near_duplicates``: of each group of near copies (Jaccard similarity 0.8 or
+   more of five-word shingles, or SimHash neighbours) the smallest doc_id stays;
 4. ``decontaminate``: documents that contain a window of a benchmark item go;
 5. ``bpe``: the texts that are left, as token ids, with the text decoded from them.
 
@@ -23,7 +24,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, line_dedup, simhash, toxicity
+from webframe.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from webframe.llm.common import free_name
 from webframe.plans.lineage import shared_folder
 
@@ -48,7 +49,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document that names its component stays; of repeated rows with that id, one. Rows without id stay."""
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs, fingerprints=True)
     kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
     d = docs.join(kept, docs["doc_id"] == kept["_id"], "left_semi")
     sortable = [c for c, kind in docs.dtypes if c != "doc_id" and not kind.startswith(("map", "variant"))]
