@@ -25,8 +25,11 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def window_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per window: key, number of the window, the places of its lines, 128-bit hash."""
+def window_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
+    """One row per window: key, number of the window, the places of its lines, 128-bit hash.
+
+    With *short*, all lines of a text of one or two lines that are not blank are a window too.
+    """
     marked = F.filter(
         F.transform(_lines(F.col(text)), lambda line, i: F.struct(F.md5(F.trim(line, F.lit(BLANKS))).alias("h"), i.alias("i"))),
         lambda s: s["h"] != F.md5(F.lit("")),
@@ -40,11 +43,14 @@ def window_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             F.unhex(F.md5(F.concat(*[z[f"l{j}"]["h"] for j in range(WINDOW)]))).alias("hash"),
         ),
     )
-    d = d.where(F.size("m") >= WINDOW).select("doc_id", F.posexplode(windows).alias("k", "w"))
+    if short:
+        whole = F.struct(F.transform("m", lambda s: s["i"]).alias("lines"), F.unhex(F.md5(F.array_join(F.transform("m", lambda s: s["h"]), ""))).alias("hash"))
+        windows = F.when(F.size("m") >= WINDOW, windows).otherwise(F.array(whole))
+    d = d.where(F.size("m") >= (1 if short else WINDOW)).select("doc_id", F.posexplode(windows).alias("k", "w"))
     return d.select("doc_id", "k", "w.lines", "w.hash")
 
 
-def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``(doc_id, covered)``: the places of the lines that later occurrences cover.
 
     A hash that occurs in a third of all documents is reduced to one row per map
@@ -52,7 +58,7 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     them back is a plain equi-join of two written tables, which Spark broadcasts
     or splits where a key is hot.
     """
-    rows = saved(window_rows(docs, key, text))
+    rows = saved(window_rows(docs, key, text, short))
     place = F.struct("doc_id", "k")
     firsts = rows.groupBy("hash").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     firsts = saved(firsts.select("hash", "first"))
@@ -60,9 +66,9 @@ def covered_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     return later.groupBy("doc_id").agg(F.flatten(F.collect_set("lines")).alias("covered"))
 
 
-def cleaned_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def cleaned_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """``row, text, n_lines, n_removed`` per row of *docs*: the row as a struct, its text without repeated passages, counts."""
-    hits = covered_lines(docs, key, text).select(F.col("doc_id").alias("_id"), "covered")
+    hits = covered_lines(docs, key, text, short).select(F.col("doc_id").alias("_id"), "covered")
     d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     d = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("row", "text", "covered", _lines(F.col("text")).alias("lines"))
     n = F.size("lines")
@@ -76,17 +82,18 @@ def cleaned_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", short: bool = False) -> DataFrame:
     """*docs* with repeated passages removed from the text; adds ``n_lines`` and ``n_removed``.
 
     Lines are compared without blanks at their ends; blank lines are part of no
     window and stay. A null text stays null and counts no lines. Texts of fewer
-    than three lines stay as they are. Rows with equal key (or null key) are
+    than three lines stay as they are unless *short* is set; then those that
+    repeat an earlier short text become blank. Rows with equal key (or null key) are
     taken for the same document: none of them is the later one, and what is
     removed from one is removed from all. Other columns pass unchanged, but
     ones named like the two new columns are replaced.
     """
-    d = cleaned_texts(docs, key, text)
+    d = cleaned_texts(docs, key, text, short)
     kept = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
     return d.select(*kept, "n_lines", "n_removed")
 
