@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, language, license_scan, line_dedup, secret_scan, simhash, token_counts, topk, toxicity
+from webframe.llm import bpe, decontaminate, language, license_scan, line_dedup, secret_scan, simhash, substring_dedup, token_counts, topk, toxicity
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -88,3 +88,9 @@ def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = line_dedup.dedup_lines(documents(spark, folder))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(substring_dedup.dedup_windows_sql())
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = substring_dedup.dedup_windows(documents(spark, folder))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
