@@ -13,14 +13,28 @@ SETTING = "spark.checkpoint.dir"
 _TABLES: list[str] = []
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, wherever that is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def drop_tables() -> None:
     """Delete the tables that this program has cut; runs by itself when the program ends."""
     spark = SparkSession.getActiveSession()
     while _TABLES and spark is not None:
         path = _TABLES.pop()
         with contextlib.suppress(Exception):  # the session may be gone
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            delete_path(spark, path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete cut tables that nothing reads any more, before the program ends; call it when their last reader has been written."""
+    for df in tables:
+        path = getattr(df, "_cut_path", None)
+        if path in _TABLES:
+            _TABLES.remove(path)
+            delete_path(df.sparkSession, path)
 
 
 atexit.register(drop_tables)
@@ -57,4 +71,6 @@ def cut(df: DataFrame) -> DataFrame:
     schema = df.schema
     _TABLES.append(path)
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table._cut_path = path
+    return table
