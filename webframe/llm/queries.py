@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webframe.llm import bpe, decontaminate, language, license_scan, line_dedup, secret_scan, simhash, substring_dedup, token_counts, topk, toxicity
+from webframe.llm import bpe, decontaminate, language, license_scan, line_dedup, secret_scan, simhash, source_audit, spelling, substring_dedup, token_counts, topk, toxicity
 from webframe.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = substring_dedup.dedup_windows(documents(spark, folder))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query()
+def op12_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(documents(spark, folder))
+
+
+@query(source_audit.source_audit_sql())
+def op13_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return source_audit.source_audit(documents(spark, folder))
