@@ -134,6 +134,11 @@ def is_link_name(name: str) -> bool:
     return re.search(URLISH_FIELD, name) is not None
 
 
+def is_link_name_column(name) -> Column:
+    """The same for names that are data."""
+    return F.coalesce(col_of(name).rlike(URLISH_FIELD), F.lit(False))
+
+
 def absolutize(value, base) -> Column:
     """Site-relative values (exactly one leading '/') become absolute; all else is kept."""
     pair = F.struct(F.coalesce(col_of(base), F.lit("")).alias("b"), col_of(value).alias("v"))
