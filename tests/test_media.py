@@ -1,4 +1,7 @@
 import json
+import random
+
+from pyspark.sql import functions as F
 
 from webframe.functions.media import looks_like_audio
 from webframe.operators import media as M
@@ -43,6 +46,34 @@ def test_rewrite_rules_from_pairs(spark):
     assert M.rewrite_rules_from_text(spark, '[{"pattern": "x", "replacement": "y"}, {"pattern": ""}]').count() == 1
 
 
+def test_rules_lead_from_thumb_to_original(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        words = [f"{rng.choice('abcdefgh')}{k}x{rng.randint(0, 9)}" for k in range(rng.randint(2, 6))]
+        other = list(words)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(other))
+            kind = rng.choice(["put", "drop", "swap"])
+            if kind == "put":
+                other.insert(at, f"new{rng.randint(0, 99)}q")
+            elif kind == "drop" and len(other) > 1:
+                del other[at]
+            else:
+                other[at] = f"big{rng.randint(0, 99)}q"
+        rows.append((i, "https://h.example.com/" + "/".join(words), "https://h.example.com/" + "/".join(other)))
+    rows += [(200, "a", "a"), (201, "", "b"), (202, None, "b"), (203, "x", "y"), (204, "https://h/a/b/", "https://h/a/c/b/")]
+    pairs = spark.createDataFrame(rows, "seq int, thumb string, original string")
+    rules = {r.seq: r for r in M.derive_rewrite_rules(pairs).collect()}
+    assert len(rules) > 80 and not {200, 201, 202} & set(rules)
+    own = spark.createDataFrame([(r.seq, r.pos, r.pattern, r.replacement, r.literal) for r in rules.values()], "seq int, pos int, pattern string, replacement string, literal string")
+    for i, thumb, original in [*rows[:120:40], rows[-1]]:
+        got = M.rewrite_urls(spark.createDataFrame([(thumb,), (thumb,), ("https://none.example.org/z",), (None,)], "url string"), own.where(F.col("seq") == rules[i].seq) if i in rules else own.limit(0)).collect()
+        if i in rules:
+            assert [r.original for r in got if r.url == thumb] == [original] * 2
+        assert sorted((r.rule_seq is None for r in got if r.url != thumb)) == [True, True]
+
+
 def test_files_are_verified(spark, tmp_path):
     mp4 = b"\0\0\0\x18ftypisom" + b"0" * 50
     tag = b"ID3\x04\0\0" + bytes([0, 0, 0x40, 0]) + b"0" * (0x40 << 7)

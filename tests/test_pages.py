@@ -58,3 +58,20 @@ def test_scan_prunes_and_filters(spark, sf):
     df = read_pages(spark, f"{sf}/pages.parquet", max_chars=100_000).select("page_id").where("page_id > 3")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan and "GreaterThan(page_id,3)]" in plan.split("PushedFilters:")[1]
+
+
+def test_long_chains_rings_and_branches(spark):
+    url = lambda i: f"http://h/{i}"
+    links = [(i, i + 1) for i in range(1000)] + [(2000, 2001), (2001, 2002), (2002, 2000)] + [(3000, 3001), (3001, 3002), (3002, 3001)] + [(4000, 500), (5000, 5000)]
+    ids = sorted({x for e in links for x in e} | {6000})
+    pages = spark.createDataFrame([(i, url(i)) for i in ids], "page_id bigint, url string")
+    edges = spark.createDataFrame([(a, url(b)) for a, b in links] + [(6000, "http://elsewhere/")], "page_id bigint, next_url string")
+    chains = {}
+    for r in G.page_chains(pages, edges).collect():
+        chains.setdefault(r.start_id, {})[r.step] = r.page_id
+    got = {s: [c[k] for k in sorted(c)] for s, c in chains.items()}
+    assert got == {0: list(range(1001)), 2000: [2000, 2001, 2002], 3000: [3000, 3001, 3002], 4000: [4000, *range(500, 1001)], 5000: [5000], 6000: [6000]}
+    short = G.page_chains(pages, edges, 3, starts=pages.where("page_id in (10, 2001, 999)")).collect()
+    assert sorted((r.start_id, r.step, r.page_id) for r in short) == [(10, 1, 10), (10, 2, 11), (10, 3, 12), (999, 1, 999), (999, 2, 1000), (2001, 1, 2001), (2001, 2, 2002), (2001, 3, 2000)]
+    assert sorted({r.start_id for r in G.page_chains(pages, edges, 2).collect()}) == [0, 2000, 3000, 4000, 5000, 6000]
+    assert G.page_chains(pages.limit(0), edges).count() == 0

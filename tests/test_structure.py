@@ -171,3 +171,42 @@ def test_rules_keep_fields_of_equal_name(spark):
     names = [x["name"] for x in D.build_rules(cands).collect()[0]["list_rule"]["fields"]]
     assert names == ["title", "title_2", "preis", "title_3", *[f"c{k}" for k in range(9)]]
     assert len(D.build_rules(cands, field_limit=2).collect()[0]["list_rule"]["fields"]) == 2
+
+
+def menus_before_list(menus=13, levels=15):
+    menu = lambda k: f"<ul class='m{k}'>" + "".join(f"<li><a href='/m{k}/{i}'>menu {k} entry</a></li>" for i in range(3)) + "</ul>"
+    row = lambda i: (
+        f"<div class='row'><a href='/r/{i}'>Row number {i}</a>" + "".join(f"<em class='f{k}'>field {k} of {i}</em>" for k in range(14))
+        + "".join(f"<div class='l{k}'>" for k in range(levels)) + f"<b class='low'>low {i}</b>" + "</div>" * levels + "</div>"
+    )
+    return "<html><body>" + "".join(map(menu, range(menus))) + "<section class='main'>" + "".join(map(row, range(9))) + "</section></body></html>"
+
+
+def test_list_behind_many_menus_is_found_with_all_its_fields(page):
+    nodes = nodes_of(page, menus_before_list())
+    cands = D.list_candidates(nodes).cache()
+    rows = {r["rank"]: (r["item_selector"], r["count"]) for r in cands.collect()}
+    assert rows[1] == ("section.main > div.row", 9) and len(rows) == 14
+    fields = D.infer_fields(cands.where("rank = 1"), nodes).collect()
+    assert {f"f{k}" for k in range(14)} <= {f["name"] for f in fields}
+    assert any(f["selector"].rsplit(".", 1)[-1] in ("low", "l14", "l13", "l12", "l11") for f in fields)
+    rule = D.build_rules(D.with_fields(cands, D.infer_fields(cands, nodes))).collect()[0]
+    assert rule["list_rule"]["item_selector"] == "section.main > div.row"
+    assert D.page_has_content(cands, nodes.groupBy("page_id").agg(F.lit(0).alias("links"), F.lit(0).alias("images"))).collect()[0]["has_content"]
+
+
+def test_limits_are_asked_for(page):
+    nodes = nodes_of(page, menus_before_list())
+    cands = D.list_candidates(nodes, limit=3)
+    assert sorted((r["rank"], r["count"]) for r in cands.collect()) == [(1, 9), (2, 3), (3, 3)]
+    assert D.list_candidates(nodes, merge=True, limit=1).count() == 1
+    assert [f["pos"] for f in D.infer_fields(cands.where("rank = 1"), nodes, limit=4).orderBy("pos").collect()] == [1, 2, 3, 4]
+
+
+def test_uniqueness_inside_an_item_deeper_than_twelve_levels(page):
+    deep = "<div class='s'>" * 14 + "<b class='x'>one {0}</b>" + "</div>" * 14
+    row = lambda i: f"<li><p class='t'>Title of {i}</p>{deep.format(i)}<div class='q'>{deep.format(i)}</div></li>"
+    nodes = nodes_of(page, "<html><body><ul>" + "".join(map(row, range(4))) + "</ul></body></html>")
+    cands = D.list_candidates(nodes).where("rank = 1")
+    found = [f["selector"] for f in D.infer_fields(cands, nodes).collect() if f["selector"].endswith("b.x")]
+    assert any(s.startswith("div.q") for s in found)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from webframe.functions import text as T
 from webframe.functions.urls import hostname, safe_name, url_part
-from webframe.plans.ordering import running_sum, sequence_number, top_per_key
+from webframe.plans.ordering import sequence_number, top_per_key
 
 # Default capacities.
 MAX_ITEMS = 500
@@ -145,20 +145,27 @@ def growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page_id") -
     )
 
 
-def politeness_schedule(
-    urls: DataFrame, order: Sequence[str], min_delay: float, max_delay: float, seed: int = 0, url: str = "url"
-) -> DataFrame:
-    """Earliest start (seconds) of each access, hosts in parallel, accesses of one host spaced.
+def access_gaps(log: DataFrame, order: Sequence[str] = ("ts", "id"), least: float | None = None, url: str = "url") -> DataFrame:
+    """*log* with ``host``, ``gap`` (seconds since the access of that host before it) and ``too_soon``.
 
-    The delay before an access is drawn from [min, max] by a hash of its key, so
-    a rerun gives the same plan; the first access of a host starts at 0.
+    ``order`` sorts the accesses, a timestamp first. An access meets the one before it by
+    (host, position), so a host with a third of the log is no hot key. The first access
+    of a host has no gap. ``too_soon``: the gap is under ``least`` seconds.
     """
     host = F.when(url_part(url, "netloc") == "", "global").otherwise(url_part(url, "netloc"))
-    share = F.pmod(F.xxhash64(F.lit(seed), *order), F.lit(1_000_000)) / F.lit(1_000_000.0)
-    d = urls.withColumn("host", host).withColumn("delay", F.lit(float(min_delay)) + share * (max_delay - min_delay))
-    summed = running_sum(d, ["host"], order, "delay", "_sum")
-    firsts = d.groupBy("host").agg(F.min_by("delay", F.struct(*order)).alias("_d0"))
-    return summed.join(firsts, "host").withColumn("start_at", F.col("_sum") - F.col("_d0")).drop("_sum", "_d0")
+    d = sequence_number(log.withColumn("host", host), ["host"], order, "_n")
+    before = d.select(F.col("host").alias("_h"), (F.col("_n") + 1).alias("_m"), F.col(order[0]).alias("_t"))
+    d = d.join(before, F.col("host").eqNullSafe(F.col("_h")) & (F.col("_n") == F.col("_m")), "left")
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap = (micros(order[0]) - micros("_t")) / 1e6
+    too_soon = F.lit(False) if least is None else F.coalesce(gap < least, F.lit(False))
+    return d.select(*[F.col(f"`{c}`") for c in log.columns], "host", gap.alias("gap"), too_soon.alias("too_soon"))
+
+
+def host_pace(log: DataFrame, order: Sequence[str] = ("ts", "id"), least: float = 1.0, url: str = "url") -> DataFrame:
+    """Per host: accesses, shortest and mean gap in seconds, and how many accesses came under ``least`` seconds after the last."""
+    return access_gaps(log, order, least, url).groupBy("host").agg(
+        F.count("*").alias("accesses"), F.min("gap").alias("shortest"), F.avg("gap").alias("mean"), F.count_if("too_soon").alias("too_soon"))
 
 
 def unique_names(files: DataFrame, order: Sequence[str], folder: str = "folder") -> DataFrame:

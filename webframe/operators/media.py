@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
@@ -141,57 +139,127 @@ def image_sizes(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return d.select("page_id", absolute_media_url("base", "raw").alias("url"), "width")
 
 
-def _changes(a: str, b: str) -> list[tuple[str, str]]:
-    """What differs between two addresses, in order, as (old, new) whole tokens.
+_TOKEN = r"([\w-]+|[^\w-])"
+_WORD = "[A-Za-z0-9]"
+
+
+def _anchors(pairs: DataFrame) -> DataFrame:
+    """``seq, anchors``: places (i, j) of the tokens that occur once on either side, in the order of the left one."""
+    def side(col: str, place: str) -> DataFrame:
+        tokens = pairs.select("seq", F.posexplode(F.regexp_extract_all(col, F.lit(_TOKEN), 1)).alias(place, "tok"))
+        return tokens.groupBy("seq", "tok").agg(F.count("*").alias("n"), F.min(place).alias(place)).where("n = 1").drop("n")
+
+    both = side("thumb", "i").join(side("original", "j"), ["seq", "tok"])
+    return both.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("anchors"))
+
+
+def _rising(anchors: Column) -> Column:
+    """The longest run of anchors that rises on both sides."""
+    best = "array<struct<n:int,back:int,j:int,chain:array<struct<i:int,j:int>>>>"
+
+    def add(acc: Column, x: Column) -> Column:
+        before = F.array_max(F.filter(acc, lambda e: e["j"] < x["j"]))
+        none = F.array().cast("array<struct<i:int,j:int>>")
+        chain = F.array_append(F.coalesce(before["chain"], none), x)
+        return F.array_append(acc, F.struct((F.coalesce(before["n"], F.lit(0)) + 1).alias("n"), (-F.size(acc)).alias("back"), x["j"].alias("j"), chain.alias("chain")))
+
+    chains = F.aggregate(anchors, F.array().cast(best), add)
+    return F.coalesce(F.array_max(chains)["chain"], F.array().cast("array<struct<i:int,j:int>>"))
 
-    Of a token like ``12_p0_square1200`` only the differing word is named, so
-    the item id in it does not become part of a rule; number tokens stay whole.
-    """
-    ta, tb = (re.findall(r"[\w-]+|[^\w-]", x) for x in (a, b))
-    out = []
-    for op, i1, i2, j1, j2 in SequenceMatcher(None, ta, tb, autojunk=False).get_opcodes():
-        if op == "equal":
-            continue
-        if op == "insert" and i1 > 0:
-            i1, j1 = i1 - 1, j1 - 1
-        old, new = "".join(ta[i1:i2]), "".join(tb[j1:j2])
-        pa, pb = old.split("_"), new.split("_")
-        differ = [(x, y) for x, y in zip(pa, pb) if x != y]
-        if i2 - i1 == 1 and len(pa) == len(pb) and len(differ) == 1 and re.search("[A-Za-z]", differ[0][0]):
-            old, new = differ[0]
-        out.append((old, new))
-    return out
-
-
-def _pair_rules(thumb: str | None, full: str | None) -> list[dict]:
-    """At most one rule: the differing tokens, with anything (kept) between them."""
-    thumb, full = (thumb or "").strip(), (full or "").strip()
-    changes = _changes(thumb, full) if thumb and full and thumb != full else []
-    if not changes or not all(old for old, _ in changes):
-        return []
-    parts, new_text = [], ""
-    for i, (old, new) in enumerate(changes):
-        left = r"(?<![A-Za-z0-9])" if old[0].isalnum() else ""
-        right = r"(?![A-Za-z0-9])" if old[-1].isalnum() else ""
-        parts.append(left + re.sub(r"([^\w\s-])", r"\\\1", old) + right)
-        new_text += (f"${i}" if i else "") + re.sub(r"([\\$])", r"\\\1", new)
-    return [{"pattern": "(.*?)".join(parts), "replacement": new_text}]
+
+def _equal_head(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    least = F.least(F.size(a), F.size(b))
+    return F.aggregate(
+        F.sequence(F.lit(0), least), F.lit(0),
+        lambda n, k: F.when((n == k) & (k < least) & (F.get(a, k) == F.get(b, k)), n + 1).otherwise(n),
+    )
+
+
+def _tail_from(a: Column, n: Column) -> Column:
+    return F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+
+def _gap(ta: Column, tb: Column, left: Column, right: Column) -> Column:
+    """What differs between two anchors as ``struct(old, new)`` of joined tokens, null if nothing does."""
+    sa = F.slice(ta, left["i"] + 2, right["i"] - left["i"] - 1)
+    sb = F.slice(tb, left["j"] + 2, right["j"] - left["j"] - 1)
+
+    def trimmed(s: Column) -> Column:
+        ra, rb = F.reverse(_tail_from(s["a"], s["n"])), F.reverse(_tail_from(s["b"], s["n"]))
+        return let(F.struct(ra.alias("ra"), rb.alias("rb"), s["n"].alias("n")), lambda t: let(_equal_head(t["ra"], t["rb"]), lambda m: F.struct(
+            F.reverse(_tail_from(t["ra"], m)).alias("a"), F.reverse(_tail_from(t["rb"], m)).alias("b"),
+            # a pure insertion also takes the token before it
+            F.get(ta, left["i"] + t["n"]).alias("before"),
+        )))
+
+    def named(g: Column) -> Column:
+        lead = F.when(F.size(g["a"]) == 0, F.coalesce(g["before"], F.lit(""))).otherwise("")
+        old, new = F.concat(lead, F.array_join(g["a"], "")), F.concat(lead, F.array_join(g["b"], ""))
+        pa, pb = F.split(old, "_"), F.split(new, "_")
+        differ = F.filter(F.arrays_zip(pa.alias("x"), pb.alias("y")), lambda z: z["x"] != z["y"])
+        narrow = (F.size(g["a"]) == 1) & (F.size(pa) == F.size(pb)) & (F.size(differ) == 1) & F.get(differ, F.lit(0))["x"].rlike("[A-Za-z]")
+        out = F.when(narrow, F.struct(F.get(differ, F.lit(0))["x"].alias("old"), F.get(differ, F.lit(0))["y"].alias("new"))).otherwise(F.struct(old.alias("old"), new.alias("new")))
+        return F.when((F.size(g["a"]) > 0) | (F.size(g["b"]) > 0), out)
+
+    return let(F.struct(sa.alias("a"), sb.alias("b")), lambda s: let(
+        F.struct(s["a"].alias("a"), s["b"].alias("b"), _equal_head(s["a"], s["b"]).alias("n")), lambda t: let(trimmed(t), named)))
+
+
+def _rule(changes: Column) -> Column:
+    """``struct(pattern, replacement, literal)``: the differing tokens, with anything (kept) between them."""
+    guard = lambda at, look: F.when(at.rlike(_WORD), F.lit(look)).otherwise("")
+    first, last = lambda c: F.substring(c, 1, 1), lambda c: F.call_function("right", c, F.lit(1))
+    one = lambda c: F.concat(
+        guard(first(c["old"]), f"(?<!{_WORD})"), F.regexp_replace(c["old"], r"([^\w\s-])", r"\\$1"), guard(last(c["old"]), f"(?!{_WORD})"))
+    new = lambda c, k: F.concat(F.when(k > 0, F.concat(F.lit("$"), k.cast("string"))).otherwise(""), F.regexp_replace(c["new"], r"([\\$])", r"\\$1"))
+    return F.struct(
+        F.array_join(F.transform(changes, one), "(.*?)").alias("pattern"), F.array_join(F.transform(changes, new), "").alias("replacement"),
+        F.regexp_extract(F.get(changes, F.lit(0))["old"], f"{_WORD}+", 0).alias("literal"),
+    )
 
 
 def derive_rewrite_rules(pairs: DataFrame) -> DataFrame:
     """Rewrite rules from (thumb, original) pairs, equal ones once, in pair order.
 
-    A rule names only the differing tokens, so one pair serves all addresses of
-    its kind. ``pairs``: seq, thumb, original.
+    The tokens of both addresses are rows; those that occur once on either side are
+    anchors, the longest run of anchors in the same order aligns the two, and what is
+    left between anchors differs. A rule names only the differing tokens (of a token
+    like ``12_p0_square1200`` only the differing word; number tokens stay whole), so one
+    pair serves all addresses of its kind. Equal, empty and null addresses give no rule.
+    ``pairs``: seq (one row each), thumb, original. ``literal`` is a word that every
+    address a rule applies to holds.
     """
-
-    @F.pandas_udf("array<struct<pattern:string,replacement:string>>")
-    def rules(thumb: pd.Series, full: pd.Series) -> pd.Series:
-        return pd.Series([_pair_rules(a, b) for a, b in zip(thumb, full)])
-
-    d = pairs.select("seq", F.posexplode(rules("thumb", "original")).alias("pos", "r")).select("seq", "pos", "r.*")
-    g = d.groupBy("pattern", "replacement").agg(F.min(F.struct("seq", "pos")).alias("f"), F.count("*").alias("pairs"))
-    return g.select("pattern", "replacement", "pairs", F.col("f.seq").alias("seq"), F.col("f.pos").alias("pos"))
+    p = pairs.select("seq", F.trim("thumb").alias("thumb"), F.trim("original").alias("original"))
+    p = p.where((F.col("thumb") != "") & (F.col("original") != "") & (F.col("thumb") != F.col("original")))
+    tokens = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), 1)
+    d = p.join(_anchors(p), "seq", "left").select("seq", tokens("thumb").alias("ta"), tokens("original").alias("tb"), "anchors")
+    none = F.array().cast("array<struct<i:int,j:int>>")
+    begin = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))
+    d = d.withColumn("chain", _rising(F.coalesce("anchors", none)))
+    d = d.withColumn("marks", F.concat(F.array(begin), F.col("chain"), F.array(F.struct(F.size("ta").alias("i"), F.size("tb").alias("j")))))
+    gaps = F.transform(F.sequence(F.lit(0), F.size("marks") - 2), lambda k: _gap(F.col("ta"), F.col("tb"), F.get("marks", k), F.get("marks", k + 1)))
+    d = d.select("seq", F.array_compact(gaps).alias("changes"))
+    d = d.where((F.size("changes") > 0) & F.forall("changes", lambda c: c["old"] != "")).select("seq", _rule(F.col("changes")).alias("r"))
+    g = d.groupBy("r.pattern", "r.replacement", "r.literal").agg(F.min("seq").alias("seq"), F.count("*").alias("pairs"))
+    return g.select("pattern", "replacement", "pairs", "seq", F.lit(0).alias("pos"), "literal")
+
+
+def rewrite_urls(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """*urls* with ``original`` and ``rule_seq``: rewritten by the first rule (``seq``, ``pos``) that changes the address.
+
+    Rules are rows of :func:`derive_rewrite_rules`. Only those meet an address whose
+    literal word it holds; a rule without one meets all. Unchanged addresses keep
+    their text and have no ``rule_seq``.
+    """
+    seen = urls.select(F.col(url).alias("_u")).where(F.col("_u").isNotNull()).distinct()
+    words = F.array_distinct(F.concat(F.array(F.lit("")), F.split("_u", "[^A-Za-z0-9]+")))
+    met = seen.select("_u", F.explode(words).alias("_w")).join(rules, F.col("_w") == F.col("literal"))
+    new = F.regexp_replace(F.col("_u"), F.col("pattern"), F.col("replacement"))
+    met = met.select("_u", "seq", "pos", new.alias("new")).where((F.col("new") != F.col("_u")) & (F.col("new") != ""))
+    best = met.groupBy("_u").agg(F.min(F.struct("seq", "pos", "new")).alias("_b"))
+    d = urls.join(best, F.col(url) == F.col("_u"), "left")
+    return d.select(*[F.col(f"`{c}`") for c in urls.columns], F.coalesce("_b.new", url).alias("original"), F.col("_b.seq").alias("rule_seq"))
 
 
 def rewrite_rules_from_text(spark: SparkSession, text: str) -> DataFrame:
@@ -204,14 +272,15 @@ def rewrite_rules_from_text(spark: SparkSession, text: str) -> DataFrame:
             raw = parsed if isinstance(parsed, list) else [parsed]
         except json.JSONDecodeError:
             raw = [line for line in text.splitlines() if line.strip()]
-    rows = []
+    rows, pairs = [], []
     for i, entry in enumerate(raw):
         if isinstance(entry, dict) and str(entry.get("pattern") or "").strip() and entry.get("enabled", True):
             rows.append((i, 0, str(entry["pattern"]), str(entry.get("replacement") or "")))
         elif isinstance(entry, str) and "|" in entry:
-            thumb, _, full = entry.partition("|")
-            rows += [(i, j, r["pattern"], r["replacement"]) for j, r in enumerate(_pair_rules(thumb, full))]
-    return spark.createDataFrame(rows, "seq int, pos int, pattern string, replacement string")
+            pairs.append((i, *entry.split("|", 1)))
+    own = spark.createDataFrame(rows, "seq int, pos int, pattern string, replacement string")
+    derived = derive_rewrite_rules(spark.createDataFrame(pairs, "seq int, thumb string, original string"))
+    return own.unionByName(derived.select("seq", "pos", "pattern", "replacement"))
 
 
 def thumb_to_original(url, rules: Sequence[tuple[str, str]]) -> Column:

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webframe.functions.urls import resolve_url
 from webframe.operators.structure import unique_selector
-from webframe.plans.lineage import cut
+from webframe.plans.lineage import cut, release
 
 # What "next" and "previous" look like, and page parameters of URLs.
 NEXT_TEXT = r"(?i)(下一页|下页|后一页|次へ|次のページ|次ページ|もっと見る|続きを(見|読)む|next\s*page|^next$|older|›|»|>>|→)"
@@ -104,29 +102,72 @@ def next_edges(pages: DataFrame, paging: DataFrame) -> DataFrame:
     return d.select("page_id", F.regexp_replace(resolve_url("url", "next_href"), "#.*$", "").alias("next_url"))
 
 
-def follow_pages(pages: DataFrame, edges: DataFrame, items: DataFrame, max_pages: int, starts: DataFrame | None = None) -> DataFrame:
-    """Pages of every chain ``(start_id, step, page_id)``, first page at step 1.
-
-    Each of the at most ``max_pages - 1`` rounds joins only the frontier (one
-    row per live chain) with the edges and the address table. A chain ends at a
-    missing link, at a page it has visited, or before a page whose items are all
-    known in the chain. ``items`` has ``page_id`` and ``content_hash``.
-    """
+def _links(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(page_id, to_id)``: the page that each page's next link leads to; links to itself and out of the corpus are none."""
     address = pages.select(F.col("page_id").alias("to_id"), F.regexp_replace("url", "#.*$", "").alias("next_url"))
     address = address.groupBy("next_url").agg(F.min("to_id").alias("to_id"))
-    step_to = cut(edges.join(address, "next_url").select("page_id", "to_id"))
-    front = (starts if starts is not None else pages).select(
-        F.col("page_id").alias("start_id"), "page_id", F.array("page_id").alias("trail")
-    )
-    parts = [front.select("start_id", F.lit(1).alias("step"), "page_id")]
-    for step in range(2, max_pages + 1):
-        front = cut(
-            front.join(step_to, "page_id").where(~F.array_contains("trail", F.col("to_id"))).select(
-                "start_id", F.col("to_id").alias("page_id"), F.concat("trail", F.array("to_id")).alias("trail")
-            )
-        )
-        parts.append(front.select("start_id", F.lit(step).alias("step"), "page_id"))
-    chain = reduce(DataFrame.unionByName, parts)
+    found = edges.join(address, "next_url").where(F.col("page_id") != F.col("to_id"))
+    return found.groupBy("page_id").agg(F.min("to_id").alias("to_id"))
+
+
+def _expand(starts: DataFrame, links: DataFrame, max_pages: int | None) -> DataFrame:
+    """Pages of the chains from some starts: with links of 1, 2, 4, ... steps, so rounds grow with the logarithm of the longest."""
+    reach = cut(starts.select(F.col("page_id").alias("start_id"), "page_id", F.lit(1).alias("step")))
+    jump, width, known = links, 1, reach.count()
+    while known and (max_pages is None or width < max_pages):
+        more = reach.join(jump, "page_id").select("start_id", F.col("to_id").alias("page_id"), (F.col("step") + width).alias("step"))
+        more = more if max_pages is None else more.where(F.col("step") <= max_pages)
+        # a page that the chain has met before ends it: only its first step stays
+        wider = cut(reach.unionByName(more).groupBy("start_id", "page_id").agg(F.min("step").alias("step")))
+        now = wider.count()
+        release(reach)
+        reach = wider
+        if now == known:
+            break
+        known = now
+        onward = jump.select(F.col("page_id").alias("_via"), F.col("to_id").alias("_to"))
+        jump = cut(jump.join(onward, F.col("to_id") == F.col("_via")).select("page_id", F.col("_to").alias("to_id")))
+        width *= 2
+    return reach
+
+
+def _ring_starts(links: DataFrame) -> DataFrame:
+    """The smallest page of every ring that no page outside leads into."""
+    d = cut(links.select("page_id", "to_id", F.least("page_id", "to_id").alias("low")))
+    while True:
+        ahead = d.select(F.col("page_id").alias("_via"), F.col("to_id").alias("_to"), F.col("low").alias("_low"))
+        wider = cut(d.join(ahead, F.col("to_id") == F.col("_via")).select(
+            "page_id", F.col("_to").alias("to_id"), F.least("low", "_low").alias("low"), (F.col("_low") < F.col("low")).alias("moved")))
+        if not wider.where("moved").limit(1).count():
+            return wider.where(F.col("page_id") == F.col("low")).select("page_id")
+        d = wider.drop("moved")
+
+
+def page_chains(pages: DataFrame, edges: DataFrame, max_pages: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """``(start_id, step, page_id)`` of every chain of next links, first page at step 1.
+
+    Chains start at pages that no link leads to, and at the smallest page of a ring,
+    unless ``starts`` names others. A chain ends at a missing link, before a page it has
+    met, or after ``max_pages``. ``edges``: page_id, next_url; of several links of a page
+    the one to the smallest page counts.
+    """
+    links = cut(_links(pages, edges))
+    if starts is not None:
+        return _expand(starts.select("page_id").distinct(), links, max_pages).select("start_id", "step", "page_id")
+    heads = pages.select("page_id").join(links.select(F.col("to_id").alias("page_id")), "page_id", "left_anti")
+    chains = _expand(heads, links, max_pages)
+    every = chains if max_pages is None else _expand(heads, links, None)
+    rings = cut(links.join(every.select("page_id"), "page_id", "left_anti"))
+    return chains.unionByName(_expand(_ring_starts(rings), rings, max_pages)).select("start_id", "step", "page_id")
+
+
+def follow_pages(pages: DataFrame, edges: DataFrame, items: DataFrame, max_pages: int | None = None, starts: DataFrame | None = None) -> DataFrame:
+    """Pages of every chain ``(start_id, step, page_id)`` as :func:`page_chains` finds them, up to the first without new items.
+
+    A chain ends after a page whose items are all known in the chain
+    (``no_new_rows``). ``items`` has ``page_id`` and ``content_hash``.
+    """
+    chain = cut(page_chains(pages, edges, max_pages, starts))
     first_seen = chain.join(items.select("page_id", "content_hash").distinct(), "page_id").groupBy("start_id", "content_hash").agg(F.min("step").alias("step"))
     fresh = first_seen.select("start_id", "step").distinct()
     dead = chain.where("step > 1").select("start_id", "step").join(fresh, ["start_id", "step"], "left_anti")

@@ -2,8 +2,9 @@
 
 All steps work on element rows. Selectors that differ from page to page cannot
 be compiled into the plan, so they are compared segment by segment with array
-functions; the compared sets are at most a dozen candidates against the
-elements of their own page or item.
+functions, each against the elements of its own page or item. All repeated
+groups of a page are ranked, all fields and levels of an item looked at; callers
+may ask for fewer.
 """
 
 from __future__ import annotations
@@ -24,10 +25,9 @@ SKIP_TAGS = (
     "textarea", "input", "select", "option",
 )
 CONTAINER_TAGS = ("ul", "ol", "div", "section", "main", "article")
-MAX_CANDIDATES, MIN_GROUP, MIN_TEXT = 12, 3, 10
+MIN_GROUP, MIN_TEXT = 3, 10
 MAX_CLASSES, MAX_CLASS_LEN = 3, 40
-MAX_FIELDS = 12
-MAX_CHAIN, MAX_RELATIVE = 30, 12
+MAX_CHAIN = 30
 LAZY_ATTRS = ("data-src", "data-original", "data-lazy-src", "data-actualsrc", "data-echo")
 BACKGROUND_ATTRS = ("data-bg", "data-background", "data-bg-src", "data-background-image")
 AUDIO_EXT = (".mp3", ".m4a", ".ogg", ".wav", ".flac")
@@ -248,8 +248,10 @@ def scope_region(nodes: DataFrame, selector: str) -> DataFrame:
     return first.join(like, "page_id", "left")
 
 
-def list_candidates(nodes: DataFrame, scope: str | None = None, with_selectors: bool = True, merge: bool = False) -> DataFrame:
-    """Repeated structures of every page, biggest first.
+def list_candidates(
+    nodes: DataFrame, scope: str | None = None, with_selectors: bool = True, merge: bool = False, limit: int | None = None
+) -> DataFrame:
+    """Repeated structures of every page, biggest first; all of them, or the ``limit`` biggest.
 
     ``scope`` restricts discovery to a region: lists inside it, else the region
     itself as a list, else (only when it is one of three like siblings) the
@@ -276,7 +278,7 @@ def list_candidates(nodes: DataFrame, scope: str | None = None, with_selectors:
     else:
         groups = groups.where("listed").withColumn("level", F.lit(0))
     w = Window.partitionBy("page_id").orderBy("container_id", "first_id")
-    top = groups.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= MAX_CANDIDATES)
+    top = groups.withColumn("pos", F.row_number().over(w))
     kids = nodes.where(F.col("parent_id") >= 0).groupBy("page_id", F.col("parent_id").alias("container_id"), "tag", F.col("classes").alias("have")).agg(F.count("*").alias("n"))
     counts = top.join(kids, ["page_id", "container_id", "tag"]).where(F.size(F.array_except("cls", "have")) == 0).groupBy("page_id", "pos").agg(F.sum("n").alias("count"))
     cands = top.join(counts, ["page_id", "pos"]).drop("anc", "listed", "sig")
@@ -284,21 +286,25 @@ def list_candidates(nodes: DataFrame, scope: str | None = None, with_selectors:
         alone = Window.partitionBy("page_id").orderBy(F.desc("count"), "pos")
         cands = cands.withColumn("_a", F.row_number().over(alone)).where((F.col("level") == 0) | (F.col("_a") == 1)).drop("_a")
     cands = cands.drop("level")
+    if limit is not None and not merge:  # the biggest are known before selectors are made
+        cands = _ranked(cands, limit, keep_pos=True).drop("rank")
     if not with_selectors:
-        return _ranked(cands)
+        return _ranked(cands, limit)
     sel = unique_selector(nodes, cands.select("page_id", F.col("container_id").alias("node_id"))).withColumnsRenamed(
         {"node_id": "container_id", "selector": "container_selector"}
     )
     out = cands.join(sel, ["page_id", "container_id"]).withColumn(
         "item_selector", F.concat("container_selector", F.lit(" > "), "tag", _dotted(F.col("cls")))
     )
-    return _ranked(merge_split_groups(out, nodes) if merge else out)
+    return _ranked(merge_split_groups(out, nodes) if merge else out, limit)
 
 
-def _ranked(cands: DataFrame) -> DataFrame:
+def _ranked(cands: DataFrame, limit: int | None = None, keep_pos: bool = False) -> DataFrame:
     """Position per page by count, ties by place in the page."""
     w = Window.partitionBy("page_id").orderBy(F.desc("count"), "pos")
-    return cands.withColumn("rank", F.row_number().over(w)).drop("pos")
+    d = cands.withColumn("rank", F.row_number().over(w))
+    d = d if limit is None else d.where(F.col("rank") <= limit)
+    return d if keep_pos else d.drop("pos")
 
 
 def merge_split_groups(cands: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -394,7 +400,7 @@ def _tokens(seg: Column) -> Column:
 def _relative_chain(path: Column, levels: Column) -> Column:
     """Segments from the element up to below its item: tag and first stable classes."""
     return F.transform(
-        F.slice(_segments(path), F.lit(1), F.least(levels, F.lit(MAX_RELATIVE))),
+        F.slice(_segments(path), F.lit(1), levels),
         lambda s: F.concat(
             F.array(s["tag"]),
             F.transform(F.slice(stable_classes(s["cls"]), 1, MAX_CLASSES), lambda c: F.concat(F.lit("."), c)),
@@ -455,8 +461,8 @@ def _field(stage: int, k: int, name, attribute) -> Column:
     return F.struct(F.lit(stage).alias("stage"), F.lit(k).alias("k"), name.alias("name"), attribute.alias("attribute"))
 
 
-def infer_fields(cands: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Up to twelve fields per candidate, read off its first item.
+def infer_fields(cands: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Fields of every candidate, read off its first item; all of them, or the first ``limit``.
 
     Image, background, audio, video, first link (title, link, both), price
     leaves, then the other short leaf texts; each with a relative selector and,
@@ -559,8 +565,8 @@ def infer_fields(cands: DataFrame, nodes: DataFrame) -> DataFrame:
     place = F.struct("stage", "src_id", "k")
     once = Window.partitionBy(*keys, "selector", F.coalesce("attribute", F.lit(""))).orderBy(place)
     d = d.withColumn("_o", F.row_number().over(once)).where("_o = 1")
-    cap = Window.partitionBy(*keys).orderBy(place)
-    d = d.withColumn("pos", F.row_number().over(cap)).where(F.col("pos") <= MAX_FIELDS)
+    d = d.withColumn("pos", F.row_number().over(Window.partitionBy(*keys).orderBy(place)))
+    d = d if limit is None else d.where(F.col("pos") <= limit)
     return d.select(*keys, "pos", "name", "selector", "attribute", "node_id")
 
 
@@ -600,7 +606,7 @@ def fix_field_coverage(fields: DataFrame, cands: DataFrame, nodes: DataFrame) ->
     per_item = kid_tags.groupBy(*keys, "item_id", "last").agg(F.min_by("k_tag", "node_id").alias("k_tag"))
     heads = per_item.groupBy(*keys, "last").agg(F.array_sort(F.collect_set("k_tag")).alias("heads"))
     weak = weak.join(heads, [*keys, "last"], "left")
-    many = F.size(F.coalesce("heads", F.array().cast("array<string>"))).between(2, 4)
+    many = F.size(F.coalesce("heads", F.array().cast("array<string>"))) >= 2
     none = F.array().cast("array<string>")
     form = lambda tags, cls: F.struct(tags.alias("tags"), cls.alias("cls"))
     last = F.array("last")
@@ -609,7 +615,7 @@ def fix_field_coverage(fields: DataFrame, cands: DataFrame, nodes: DataFrame) ->
         F.when(many, form(F.col("heads"), F.col("e_cls"))), form(none, F.col("e_cls")), form(F.array("e_tag"), F.col("e_cls")),
         F.when(more & many, form(F.col("heads"), last)), F.when(more, form(none, last)), F.when(more, form(F.array("e_tag"), last)),
     ))
-    up = F.transform(F.slice(_segments(F.col("e_path")), F.lit(1), F.least("levels", F.lit(6))), lambda s: F.get(stable_classes(s["cls"]), F.lit(0)))
+    up = F.transform(F.slice(_segments(F.col("e_path")), F.lit(1), F.greatest("levels", F.lit(0))), lambda s: F.get(stable_classes(s["cls"]), F.lit(0)))
     weak = weak.withColumn("forms", forms).withColumn("up", up)
     tries = F.concat(
         F.flatten(F.transform(

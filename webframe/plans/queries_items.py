@@ -139,7 +139,7 @@ def growth_stop(spark, sf):
 
 
 @query(
-    """SELECT doc_id, CASE WHEN rn > 50 THEN filename WHEN rn = 1 THEN stem || '.mp3' ELSE stem || ' (' || rn || ').mp3' END AS new_name FROM
+    """SELECT doc_id, CASE WHEN rn = 1 THEN stem || '.mp3' ELSE stem || ' (' || rn || ').mp3' END AS new_name FROM
     (SELECT doc_id, 'f' || doc_id || '.mp3' AS filename, 'The ' || lang || ' - ' || source AS stem, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents)"""
 )
 def unique_names(spark, sf):
@@ -159,6 +159,27 @@ def upsert_latest(spark, sf):
     return I.upsert_latest(base, new, ["k"])
 
 
+@query(
+    """SELECT event_id::VARCHAR AS id, gap, coalesce(gap < 60, FALSE) AS too_soon FROM (SELECT event_id,
+    (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id))) / 1e6 AS gap FROM events)"""
+)
+def access_gaps(spark, sf):
+    """Seconds between logged accesses of one host; fifty hosts share the users of the log."""
+    url = F.concat(F.lit("https://h"), (F.col("user_id") % 50).cast("string"), F.lit(".example.com/x"))
+    log = _events(spark, sf).select("event_id", "ts", url.alias("url"))
+    return I.access_gaps(log, ("ts", "event_id"), 60).select(F.col("event_id").cast("string").alias("id"), "gap", "too_soon")
+
+
+@query(
+    """SELECT 'h' || h || '.example.com' AS host, count(*) AS accesses, min(gap) AS shortest, round(avg(gap), 4) AS mean, count(CASE WHEN gap < 60 THEN 1 END) AS too_soon
+    FROM (SELECT user_id % 50 AS h, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id))) / 1e6 AS gap FROM events) GROUP BY h"""
+)
+def host_pace(spark, sf):
+    url = F.concat(F.lit("https://h"), (F.col("user_id") % 50).cast("string"), F.lit(".example.com/x"))
+    log = _events(spark, sf).select("event_id", "ts", url.alias("url"))
+    return I.host_pace(log, ("ts", "event_id"), 60).withColumn("mean", F.round("mean", 4))
+
+
 @query("SELECT 'k' AS \"column\", 0 AS first_pos UNION ALL SELECT DISTINCT event_type, 1 FROM events")
 def infer_columns(spark, sf):
     d = _events(spark, sf).select(F.col("event_id").alias("seq"), F.create_map(F.lit("k"), F.col("props"), "event_type", F.col("value").cast("string")).alias("data"))

@@ -328,7 +328,21 @@ def follow_pages(spark, sf):
     nxt = pages.select((F.col("page_id") - 1).alias("page_id"), F.regexp_replace("url", "#.*$", "").alias("next_url"))
     edges = pages.select("page_id").join(nxt, "page_id")
     items = pages.select("page_id", F.md5(F.regexp_extract("html", "<h1>(.*?)</h1>", 1)).alias("content_hash"))
-    return G.follow_pages(pages.select("page_id", "url"), edges, items, 3).select("start_id", "step", "page_id")
+    return G.follow_pages(pages.select("page_id", "url"), edges, items, 3, starts=pages).select("start_id", "step", "page_id")
+
+
+@query(
+    """WITH RECURSIVE a AS (SELECT regexp_replace(url, '#.*$', '') AS u, min(page_id) AS to_id FROM pages GROUP BY 1),
+    e AS (SELECT p.page_id, a.to_id FROM pages p JOIN pages n ON n.page_id = p.page_id + 1 JOIN a ON a.u = regexp_replace(n.url, '#.*$', '') WHERE a.to_id <> p.page_id),
+    c AS (SELECT page_id AS start_id, 1 AS step, page_id, [page_id] AS trail FROM pages WHERE page_id NOT IN (SELECT to_id FROM e)
+          UNION ALL SELECT c.start_id, c.step + 1, e.to_id, list_append(c.trail, e.to_id) FROM c JOIN e ON e.page_id = c.page_id WHERE NOT list_contains(c.trail, e.to_id))
+    SELECT start_id, step, page_id FROM c"""
+)
+def page_chains(spark, sf):
+    """Chains from the pages that no link leads to; each page links to the one with the next number."""
+    pages = _pages(spark, sf).select("page_id", "url")
+    edges = pages.select((F.col("page_id") - 1).alias("page_id"), F.regexp_replace("url", "#.*$", "").alias("next_url")).join(pages.select("page_id"), "page_id")
+    return G.page_chains(pages, edges)
 
 
 @query(f"WITH {_LI} SELECT page_id, url, position FROM (SELECT page_id, u AS url, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS position FROM (SELECT page_id, {_ROOT} || href AS u, min(pos) AS pos FROM li GROUP BY 1, 2))")
@@ -415,13 +429,41 @@ def thumb_to_original(spark, sf):
     return _pages(spark, sf).withColumn("t", hit).select("page_id", F.col("t.url").alias("original"), F.col("t.rule").alias("rule"))
 
 
-@query("SELECT '(?<![A-Za-z0-9])400_0(?![A-Za-z0-9])' AS pattern, '1000_0' AS replacement, count(*) AS pairs FROM pages")
-def derive_rewrite_rules(spark, sf):
-    stem = F.regexp_replace(F.regexp_extract("url", "^[^?#]*", 0), "/$", "")
-    pairs = _pages(spark, sf).select(
-        F.col("page_id").alias("seq"), F.concat(stem, F.lit("/x.thumb.400_0.jpeg")).alias("thumb"), F.concat(stem, F.lit("/x.thumb.1000_0.jpeg")).alias("original")
+def _picture_pairs(pages):
+    """Addresses of small and full pictures in four styles, made from the pages' paths."""
+    stem, n = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://[^?#]*", 0), "/$", ""), F.col("page_id")
+    kind, k = n % 4, n.cast("string")
+    made = lambda a, b: F.struct(F.concat(stem, *a).alias("thumb"), F.concat(stem, *b).alias("original"))
+    lit = F.lit
+    pair = (
+        F.when(kind == 0, made([lit("/x.thumb.400_0.jpeg")], [lit("/x.thumb.1000_0.jpeg")]))
+        .when(kind == 1, made([lit("/c/250x250_80/img/"), k, lit("_p0_square1200.jpg")], [lit("/img/"), k, lit("_p0_master1200.jpg")]))
+        .when(kind == 2, made([lit("/small/i"), k, lit(".png")], [lit("/large/i"), k, lit(".png")]))
+        .otherwise(made([lit("/same.gif")], [lit("/same.gif")]))
     )
-    return M.derive_rewrite_rules(pairs).select("pattern", "replacement", "pairs")
+    return pages.select(n.alias("seq"), pair.alias("p")).select("seq", "p.*")
+
+
+@query(
+    r"""SELECT CASE page_id % 4 WHEN 0 THEN '(?<![A-Za-z0-9])400_0(?![A-Za-z0-9])' WHEN 1 THEN '(?<![A-Za-z0-9])c\/250x250_80\/(.*?)(?<![A-Za-z0-9])square1200(?![A-Za-z0-9])'
+      ELSE '(?<![A-Za-z0-9])small(?![A-Za-z0-9])' END AS pattern, CASE page_id % 4 WHEN 0 THEN '1000_0' WHEN 1 THEN '$1master1200' ELSE 'large' END AS replacement,
+    count(*) AS pairs, min(page_id) AS seq FROM pages WHERE page_id % 4 < 3 GROUP BY page_id % 4"""
+)
+def derive_rewrite_rules(spark, sf):
+    return M.derive_rewrite_rules(_picture_pairs(_pages(spark, sf))).select("pattern", "replacement", "pairs", "seq")
+
+
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN stem || '/x.thumb.1000_0.jpeg' WHEN 1 THEN stem || '/img/' || page_id || '_p0_master1200.jpg'
+      WHEN 2 THEN stem || '/large/i' || page_id || '.png' ELSE stem || '/same.gif' END AS original,
+    CASE WHEN page_id % 4 < 3 THEN (SELECT min(q.page_id) FROM pages q WHERE q.page_id % 4 = p.page_id % 4) END AS rule_seq
+    FROM (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^?#]*'), '/$', '') AS stem FROM pages) p"""
+)
+def rewrite_urls(spark, sf):
+    """Rules found in one table of pairs, applied to all small addresses without leaving Spark."""
+    pairs = _picture_pairs(_pages(spark, sf))
+    out = M.rewrite_urls(pairs.select(F.col("seq").alias("page_id"), "thumb"), cut(M.derive_rewrite_rules(pairs)), "thumb")
+    return out.select("page_id", "original", "rule_seq")
 
 
 @query(
@@ -439,11 +481,6 @@ def url_changed(spark, sf):
     return d.select("page_id", F.col("a.kind").alias("cut_kind"), F.col("a.changed").alias("cut_changed"), F.col("b.kind").alias("moved_kind"), F.col("c.kind").alias("www_kind"), F.col("d.kind").alias("path_kind"))
 
 
-@query("SELECT page_id, (row_number() OVER (PARTITION BY regexp_extract(url, '://([^/?#]+)', 1) ORDER BY page_id) - 1) * 2.0::DOUBLE AS start_at FROM pages")
-def politeness_schedule(spark, sf):
-    return I.politeness_schedule(_pages(spark, sf).select("page_id", "url"), ["page_id"], 2.0, 2.0).select("page_id", F.round("start_at", 6).alias("start_at"))
-
-
 @query("SELECT page_id, url, 'demo' AS batch, regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), ':\\d+$', '') AS source_domain FROM pages")
 def enrich(spark, sf):
     return I.enrich(I.add_fields(_pages(spark, sf).select("page_id", "url"), {"batch": "demo", "url": "kept"}))

@@ -8,6 +8,7 @@ by Structured Streaming. Where an exact count bound is wanted, use the
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -62,34 +63,37 @@ def idle_ms(text: str) -> int:
 
 
 _GROWTH_OUT = "page_id bigint, rounds int, reason string, grew boolean, height_gain int, node_gain int"
-_GROWTH_STATE = "h0 int, n0 int, h1 int, n1 int, step int, round int, flat int, grew boolean, done boolean"
+_GROWTH_STATE = "h0 int, n0 int, h1 int, n1 int, step int, round int, flat int, grew boolean, done boolean, held string"
 
 
-def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page_id", idle: str = "24 hours") -> DataFrame:
+def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page_id", idle: str | None = "24 hours") -> DataFrame:
     """Stop decision per page as soon as it can be made.
 
-    State per page is one row of counters, whatever the length of its series.
-    Rounds of a page arrive in order; round 0 is the state before. A page that
-    sends nothing for ``idle`` is forgotten, so the state does not grow for ever.
+    State per page is one row of counters and the rounds that came before their turn,
+    which wait until those before them are there; round 0 is the state before. A page
+    that sends nothing for ``idle`` is forgotten, so the state does not grow for ever.
+    Timers keep a stream going that has read all there is; without ``idle`` it ends.
     """
-    forget = idle_ms(idle)
+    forget = None if idle is None else idle_ms(idle)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values("round")
-        s = list(state.get) if state.exists else None
-        for r in rows.itertuples(index=False):
-            h, n, k = int(r.height), int(r.nodes), int(r.round)
-            if s is None:
-                s = [h, n, h, n, 0, k, 0, False, False]
+        s = list(state.get) if state.exists else [0, 0, 0, 0, 0, -1, 0, False, False, "{}"]
+        held = {int(k): v for k, v in json.loads(s[9]).items()}
+        if not s[8]:
+            for rows in batches:
+                held.update({int(r.round): (int(r.height), int(r.nodes)) for r in rows.itertuples(index=False) if r.round > s[5]})
+        while not s[8] and s[5] + 1 in held:
+            k = s[5] + 1
+            h, n = held.pop(k)
+            if k == 0:
+                s[:9] = [h, n, h, n, 0, 0, 0, False, False]
                 continue
-            if s[8]:
-                break
             jump = h - s[2]
             grown = jump > GROW_HEIGHT or n - s[3] > GROW_NODES
-            s = [s[0], s[1], h, n, jump, k, 0 if grown else s[6] + 1, s[7] or grown, False]
+            s[2:8] = [h, n, jump, k, 0 if grown else s[6] + 1, s[7] or grown]
             reason = None
             if s[6] >= 2:
                 reason = "settled"
@@ -101,12 +105,13 @@ def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page
                     {"page_id": [key[0]], "rounds": [k], "reason": [reason], "grew": [s[7]],
                      "height_gain": [max(0, h - s[0])], "node_gain": [max(0, n - s[1])]}
                 )
-        if s is not None:
-            state.update(tuple(s))
+        s[9] = "{}" if s[8] else json.dumps(held)
+        state.update(tuple(s))
+        if forget is not None:
             state.setTimeoutDuration(forget)
 
     return series.groupBy(page).applyInPandasWithState(
-        step, _GROWTH_OUT, _GROWTH_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, _GROWTH_OUT, _GROWTH_STATE, "append", GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
