@@ -45,9 +45,20 @@ def test_small_windows_and_pieces(docs, monkeypatch):
     rows = planted(4)
     assert result(dedup_windows(docs(rows), size=3)) == sorted(kept_words(rows, 3), key=str)
     monkeypatch.setattr(substring_dedup, "PIECE", 50)
-    known, cut = recompression.WordDigests(), [(0, [b"a", b"b", b"c", b"d", b"e"] * 200)]
-    found = [(int(p), int(n)) for _, place, _, count, *_ in substring_dedup._found(known, cut, 20) for p, n in zip(place, count, strict=True)]
-    assert sorted(x for p, n in found for x in range(p, p + n)) == list(range(981))
+    texts = [b"a b  c d e " * 200, b"", b"f", b"g\nh " * 3, b"x" * 500 + b" y" * 40]
+    found = [(int(r), int(p), int(n)) for row, place, _, count, *_ in substring_dedup._found(iter(texts), 20) for r, p, n in zip(row, place, count, strict=True)]
+    windows = sorted((r, x) for r, p, n in found for x in range(p, p + n))
+    assert windows == [(0, x) for x in range(981)] + [(4, x) for x in range(22)]
+    assert result(dedup_windows(docs(rows))) == sorted(kept_words(rows), key=str)
+
+
+def test_words_are_those_of_split():
+    texts = [b" a  b\tc\x0b", b"", b"d", b"\xc2\xa0e\x1cf g", b"h" * 200 + b" i", b"\n", b"h" * 200]
+    data, begins = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])[:-1]
+    start, end, text, lanes = recompression.word_digests(data, begins)
+    assert [(int(t), data[a:b].tobytes()) for t, a, b in zip(text, start, end, strict=True)] == [(k, w) for k, t in enumerate(texts) for w in t.split()]
+    assert lanes[0][-1] == lanes[0][-3] and len(set(lanes[0].tolist())) == len(start) - 1
+    assert len(recompression.word_digests(data[:0], begins[:1])[0]) == 0
 
 
 def test_equal_windows_have_equal_anchors():
@@ -55,8 +66,9 @@ def test_equal_windows_have_equal_anchors():
     words = [b"v%d" % i for i in rng.zipf(1.3, 6000) % 50]
     words[1000:1100] = words[3000:3100]
     words[5000:5200] = [b"q"] * 200
-    known = recompression.WordDigests()
-    first, count, anchor, *_ = recompression.stretches(known.lanes(words), np.zeros(len(words), bool), 20)
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    *_, lanes = recompression.word_digests(data, np.array([0]))
+    first, count, anchor, *_ = recompression.stretches(lanes, np.zeros(len(words), bool), 20)
     assert count.sum() == len(words) - 19 and (np.cumsum(count)[:-1] == first[1:]).all()
     by_window = {}
     for a, p in zip(np.repeat(anchor, count), range(len(words) - 19), strict=True):

@@ -8,8 +8,8 @@ all tasks of a job agree on the names without a dictionary.
 With each symbol go the words that its parsing depends on: its own and those of
 the neighbours that were looked at. A symbol is *certain* for a window that holds
 all of them; equal windows have the same certain symbols, wherever they stand.
-:func:`stretches` picks one of them for each window (the widest, then the one of
-smallest digest) and joins neighbouring windows with the same pick.
+:func:`stretches` picks one of them for each window, the one of smallest digest, and
+joins neighbouring windows with the same pick.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ import xxhash
 ROUNDS = 2
 #: Windows of one stretch at most.
 LONGEST = 64
-#: Words cached for their digests, and the longest of these.
-MAX_WORDS, MAX_LENGTH = 200_000, 40
+#: Bytes of text that are cut into words together, and the longest word whose digest is not made on its own.
+PIECE, LONG_WORD = 1 << 20, 64
 
 _U = np.uint64
 _RUN, _PAIR, _SIDE = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F), _U(0x165667B19E3779F9)
 #: Multipliers of the two digest lanes, odd and 5 modulo 8.
 _LANES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _LAST = _U(2**64 - 1)
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(9, 14)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,31 +42,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class WordDigests(dict):
-    """Numbers of the words met so far, with two 64-bit digests each; bounded by :meth:`renew` between batches."""
+#: What each byte stands for in the digests of words, per lane.
+_BYTES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * _U(k)) for k in _LANES)
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.found = bytearray()
-        self.n = 0
 
-    def __missing__(self, word: bytes) -> int:
-        self.found += xxhash.xxh3_128_digest(word)
-        self.n += 1
-        if len(word) <= MAX_LENGTH:
-            self[word] = self.n - 1
-        return self.n - 1
+def word_digests(
+    data: np.ndarray, begins: np.ndarray, inside: np.ndarray = ~_SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Words of texts that lie end to end in ``data``, text k from ``begins[k]``; ``inside`` tells the bytes that words are made of.
 
-    def renew(self) -> None:
-        if self.n > MAX_WORDS:
-            self.clear()
-            self.found = bytearray()
-            self.n = 0
-
-    def lanes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        table = np.frombuffer(bytes(self.found), np.uint64).reshape(-1, 2)
-        return table[at, 0], table[at, 1]
+    Returns where each word starts and ends, its text, and its digests in two lanes.
+    """
+    n = len(data)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return none, none, none, (none.view(np.uint64), none.view(np.uint64))
+    word = inside[data]
+    edge = np.zeros(n + 1, bool)  # a word cannot go on across this place
+    edge[begins] = True
+    edge[n] = True
+    first = word.copy()
+    first[1:] &= ~word[:-1] | edge[1:n]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | edge[1:n]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    digests = Digests(tuple(t[data] for t in _BYTES))
+    lanes = tuple(digests.of(k, start, end) for k in (0, 1))
+    for w in np.flatnonzero(end - start > LONG_WORD):
+        whole = xxhash.xxh3_128_intdigest(data[start[w]: end[w]].tobytes())
+        lanes[0][w], lanes[1][w] = whole & int(_LAST), whole >> 64
+    return start, end, np.searchsorted(begins, start, "right") - 1, lanes
 
 
 class Digests:
@@ -142,6 +149,13 @@ def next_level(x: Level) -> Level:
     )
 
 
+def _changes(x: Level) -> Level:
+    """Places where a word differs from the one before it, for windows that hold hardly more than a run or two."""
+    at = np.flatnonzero((x.name[1:] != x.name[:-1]) & ~x.border[1:] & ~x.border[:-1]) + 1
+    name = mix(mix(x.name[at - 1] ^ _PAIR) + x.name[at])
+    return Level(name, at - 1, at + 1, at - 1, at + 1, np.zeros(len(at), bool))
+
+
 def _certain(level: Level, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window start below ``n - size + 1``: first and last symbol that it is certain of (empty: last < first)."""
     starts = n - size + 1
@@ -151,51 +165,68 @@ def _certain(level: Level, n: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     return below[p], until[p + size] - 1
 
 
+def _least(rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Place of the smallest rank from i to j, the first of several; from tables of the smallest of 1, 2, 4, ... places."""
+    out = np.zeros(len(i), np.int64)
+    steps = np.zeros(len(i), np.int64) if not len(i) else np.frexp((j - i + 1).astype(np.float64))[1] - 1
+    table, width = np.arange(len(rank)), 1
+    for k in range(int(steps.max(initial=-1)) + 1):
+        here = np.flatnonzero(steps == k)
+        a, b = table[i[here]], table[j[here] - width + 1]
+        out[here] = np.where(rank[a] <= rank[b], a, b)
+        a, b = table[:-width], table[width:]
+        table = np.concatenate([np.where(rank[a] <= rank[b], a, b), table[len(table) - width:]])
+        width *= 2
+    return out
+
+
 def stretches(lanes: tuple[np.ndarray, np.ndarray], border: np.ndarray, size: int, rounds: int = ROUNDS, longest: int = LONGEST):
-    """``first, count, anchor, key1, key2`` of the stretches of windows of a sequence, and its digests.
+    """``first, count, anchor, key`` of the stretches of windows of a sequence, and its digests.
 
     ``border`` marks places that no window may hold. Windows ``first`` to
-    ``first + count - 1`` share one anchor; the key is a digest of all their words.
+    ``first + count - 1`` share one anchor (a digest of some words that all of them
+    hold, in lane 0); the key is a digest of all their words, in lane 1.
     """
     n = len(border)
     digests = Digests(lanes)
     none = np.zeros(0, np.int64)
     if n < size:
-        return none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), digests
+        return none, none, none.view(np.uint64), none.view(np.uint64), digests
     blocked = np.concatenate([[0], np.cumsum(border)])
     starts = n - size + 1
     fine = blocked[size:] == blocked[:starts]
     best = np.full(starts, _LAST, np.uint64)
     begin, stop = np.zeros(starts, np.int64), np.zeros(starts, np.int64)
     level = words_level(lanes[0], border)
+    changes = _changes(level)
+    levels = []
     for _ in range(rounds):
         level = next_level(level)
-        width = np.minimum(level.end - level.start, 15).astype(np.uint64)
-        rank = ((_U(15) - width) << _U(60)) | (mix(level.name ^ _RUN) >> _U(4))
+        levels.append(level)
+    for level in [*levels, changes]:
+        rank = mix(level.name ^ _RUN)
         rank[level.border] = _LAST
         i, j = _certain(level, n, size)
-        most = int((j - i).max(initial=-1))
-        pick = np.full(starts, -1)
-        for d in range(most + 1):
-            k = i + d
-            value = np.where(k <= j, rank[np.minimum(k, len(rank) - 1)], _LAST)
-            better = value < best
-            best = np.where(better, value, best)
-            pick = np.where(better, k, pick)
-        chosen = pick >= 0
-        begin[chosen], stop[chosen] = level.lo[pick[chosen]], level.hi[pick[chosen]]
+        chosen = np.flatnonzero((i <= j) & ((best == _LAST) if level is changes else True))
+        pick = _least(rank, i[chosen], j[chosen])
+        better = rank[pick] < best[chosen]
+        chosen, pick = chosen[better], pick[better]
+        best[chosen], begin[chosen], stop[chosen] = rank[pick], level.lo[pick], level.hi[pick]
     at = np.flatnonzero(fine)
     if not len(at):
-        return none, none, none.view(np.uint64), none.view(np.uint64), none.view(np.uint64), digests
-    bare = best[at] == _LAST  # no certain symbol: the window stands for itself, alone, as the next may be equal to it
+        return none, none, none.view(np.uint64), none.view(np.uint64), digests
+    bare = best[at] == _LAST  # one word over and over: the window stands for itself
     lo, hi = np.where(bare, at, begin[at]), np.where(bare, at + size, stop[at])
     anchor = digests.of(0, lo, hi)
-    change = np.ones(len(at), bool)
-    change[1:] = (at[1:] != at[:-1] + 1) | (anchor[1:] != anchor[:-1]) | bare[1:] | bare[:-1] | (lo[1:] != lo[:-1])
+    same = np.zeros(len(at), bool)
+    same[1:] = (at[1:] == at[:-1] + 1) & (anchor[1:] == anchor[:-1]) & (bare[1:] == bare[:-1]) & (bare[1:] | (lo[1:] == lo[:-1]))
+    change = ~same
+    # equal windows in a row: the first is a stretch of its own, so that the others repeat it
+    change[1:] |= bare[1:] & ~same[:-1]
     run = np.flatnonzero(change)
     place = np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))
     run = np.flatnonzero(place % longest == 0)
     count = np.diff(np.append(run, len(at)))
     first = at[run]
     end = first + count + size - 1
-    return first, count, anchor[run], digests.of(0, first, end), digests.of(1, first, end), digests
+    return first, count, anchor[run], digests.of(1, first, end), digests

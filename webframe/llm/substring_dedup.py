@@ -14,13 +14,15 @@
 5. The covered words are taken out of the texts.
 
 No step pairs occurrences, so a passage in a third of all texts costs what any
-other costs. Texts cross a shuffle twice, compressed. Digests of stretches and
-windows have 128 bits; equal digests are taken for equal words.
+other costs. Texts cross a shuffle twice, compressed. Two stretches or windows are
+taken for equal if two independent digests of 64 bits are: that of the anchor's
+words and that of all their words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webframe.llm.common import saved
-from webframe.llm.recompression import WordDigests, stretches
+from webframe.llm.recompression import PIECE, stretches, word_digests
 from webframe.plans.lineage import release
 
 WINDOW = 20
-#: Words that are recompressed together; longer texts are cut into pieces that overlap by a window less one word.
-PIECE = 1 << 17
+_BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,46 +44,75 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def _pieces(texts: list[tuple[int, list[bytes]]], size: int) -> Iterator[tuple[list[bytes], list[tuple[int, int]]]]:
-    """Texts, or pieces of long ones, joined to about ``PIECE`` words with a border after each: words, and (row, place) of each part."""
-    words: list[bytes] = []
+def _blocks(texts: Iterator[bytes], size: int) -> Iterator[tuple[list[tuple[int, int]], list[bytes]]]:
+    """Texts joined to about ``PIECE`` bytes: (row, words before it) of each part, and the parts.
+
+    A longer text is cut before a space; a part but the first repeats the last ``size - 1`` words of the one before.
+    """
     parts: list[tuple[int, int]] = []
-    for row, own in texts:
-        for at in range(0, max(1, len(own) - size + 1), PIECE):
-            part = own[at: at + PIECE + size - 1]
-            if len(part) < size:
-                continue
-            parts.append((row, at))
-            words += part
-            words.append(b"")
-            if len(words) >= PIECE:
-                yield words, parts
-                words, parts = [], []
-    if words:
-        yield words, parts
-
-
-def _found(digests: WordDigests, texts: list[tuple[int, list[bytes]]], size: int):
-    """For each group of pieces: row, place in the text and place in the group of each stretch, windows, anchor, keys, digests."""
-    for words, parts in _pieces(texts, size):
-        digests.renew()
-        border = np.fromiter((not w for w in words), bool, len(words))
-        first, count, anchor, key1, key2, parsed = stretches(digests.lanes(words), border, size)
-        begins = np.concatenate([[0], np.flatnonzero(border)[:-1] + 1])
-        part = np.searchsorted(begins, first, "right") - 1
+    block: list[bytes] = []
+    held = 0
+    for row, text in enumerate(texts):
+        at, before = 0, 0
+        while True:
+            end, own = len(text), []
+            reach = at + PIECE
+            while len(text) - at > 2 * PIECE:
+                found = _BREAK.search(text, reach)
+                end = found.start() if found else len(text)
+                own = text[at:end].split()
+                if len(own) >= 2 * size or end == len(text):
+                    break
+                reach = end + PIECE
+            parts.append((row, before))
+            block.append(text[at:end])
+            held += end - at
+            if held >= PIECE:
+                yield parts, block
+                parts, block, held = [], [], 0
+            if end == len(text):
+                break
+            tail = own[len(own) - size + 1:]
+            before += len(own) - len(tail)
+            at = end
+            for word in reversed(tail):  # back to the first of the words that are read again
+                at = text.rindex(word, 0, at)
+    if block:
+        yield parts, block
+
+
+def _found(texts: Iterator[bytes], size: int):
+    """For each block: row, place in the text and place in the block of each stretch, windows, anchor, key, digests."""
+    for parts, block in _blocks(texts, size):
+        begins = np.cumsum([0, *map(len, block)])[:-1]
+        start, _, text, lanes = word_digests(np.frombuffer(b"".join(block), np.uint8), begins)
+        # words in a row, with a border after each text
+        n = len(start) + len(block)
+        place = np.arange(len(start)) + text
+        border = np.ones(n, bool)
+        border[place] = False
+        spread = []
+        for lane in lanes:
+            spread.append(np.zeros(n, np.uint64))
+            spread[-1][place] = lane
+        first, count, anchor, key, digests = stretches(tuple(spread), border, size)
+        opens = np.concatenate([[0], np.flatnonzero(border)[:-1] + 1])
+        part = np.searchsorted(opens, first, "right") - 1
         rows, offsets = (np.array([p[k] for p in parts], np.int64) for k in (0, 1))
-        yield rows[part], first - begins[part] + offsets[part], first, count, anchor, key1, key2, parsed
+        yield rows[part], first - opens[part] + offsets[part], first, count, anchor, key, digests
+
+
+def _bytes_of(column: pa.Array) -> Iterator[bytes]:
+    return (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in column.cast(pa.binary()))
 
 
 def _anchors(d: DataFrame, size: int) -> DataFrame:
     """``id, tie, p, anchor``: where each stretch of windows begins, and the digest that its windows share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordDigests()
         for batch in batches:
             ids, ties = batch.column(0), batch.column(1)
-            texts = ((i, words_of(t.as_py())) for i, t in enumerate(batch.column(2)))
-            for row, place, _, _, anchor, *_ in _found(known, texts, size):
+            for row, place, _, _, anchor, *_ in _found(_bytes_of(batch.column(2)), size):
                 at = pa.array(row)
                 made = [ids.take(at), ties.take(at), pa.array(place.astype(np.int32)), pa.array(anchor.view(np.int64))]
                 yield pa.RecordBatch.from_arrays(made, ["id", "tie", "p", "anchor"])
@@ -96,44 +126,44 @@ def _packed(d: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            blobs = [None if (t := x.as_py()) is None else squeeze(t.encode("utf-8", "surrogatepass")) for x in batch.column(2)]
+            blobs = [squeeze(x.as_buffer()) if x.is_valid else None for x in batch.column(2).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["id", "tie", "blob"])
 
     return d.mapInArrow(run, f"id {d.schema['id'].dataType.simpleString()}, tie long, blob binary")
 
 
-def _unpacked(blob: bytes | None) -> str:
-    return zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass") if blob else ""
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    expand = zstandard.ZstdDecompressor().decompress
+    return (expand(x.as_buffer()) if x.is_valid else b"" for x in column)
 
 
 def _stretch_rows(d: DataFrame, size: int) -> DataFrame:
-    """``id, tie, p, n, anchor, k1, k2, w1, w2`` of the stretches that ``d(id, tie, blob, at)`` names by their places."""
+    """``id, tie, p, n, anchor, key, w`` (digests of its windows) of the stretches that ``d(id, tie, blob, at)`` names by their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordDigests()
         for batch in batches:
-            ids, ties = batch.column(0), batch.column(1)
-            wanted = [np.sort(np.array(x.as_py(), np.int64)) for x in batch.column(3)]
-            texts = ((i, words_of(_unpacked(b.as_py()))) for i, b in enumerate(batch.column(2)))
-            for row, place, first, count, anchor, key1, key2, parsed in _found(known, texts, size):
-                own = np.zeros(len(row), bool)
-                for r in np.unique(row):
-                    here = row == r
-                    own[here] = np.isin(place[here], wanted[r])
+            ids, ties, wanted = batch.column(0), batch.column(1), batch.column(3)
+            place_of = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            row_of = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            named = np.sort(row_of << 40 | place_of)
+            for row, place, first, count, anchor, key, digests in _found(_unpacked(batch.column(2)), size):
+                mine = row << 40 | place
+                at = np.minimum(np.searchsorted(named, mine), len(named) - 1)
+                own = named[at] == mine
                 if not own.any():
                     continue
-                row, place, first, count, anchor, key1, key2 = (x[own] for x in (row, place, first, count, anchor, key1, key2))
+                row, place, first, count, anchor, key = (x[own] for x in (row, place, first, count, anchor, key))
                 ends = np.cumsum(count)
                 windows = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
                 cuts = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 at = pa.array(row)
                 made = [ids.take(at), ties.take(at), pa.array(place.astype(np.int32)), pa.array(count.astype(np.int32))]
-                made += [pa.array(x.view(np.int64)) for x in (anchor, key1, key2)]
-                made += [pa.ListArray.from_arrays(cuts, pa.array(parsed.of(k, windows, windows + size).view(np.int64))) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays(made, ["id", "tie", "p", "n", "anchor", "k1", "k2", "w1", "w2"])
+                made += [pa.array(x.view(np.int64)) for x in (anchor, key)]
+                made.append(pa.ListArray.from_arrays(cuts, pa.array(digests.of(1, windows, windows + size).view(np.int64))))
+                yield pa.RecordBatch.from_arrays(made, ["id", "tie", "p", "n", "anchor", "key", "w"])
 
     kind = d.schema["id"].dataType.simpleString()
-    return d.mapInArrow(run, f"id {kind}, tie long, p int, n int, anchor long, k1 long, k2 long, w1 array<long>, w2 array<long>")
+    return d.mapInArrow(run, f"id {kind}, tie long, p int, n int, anchor long, key long, w array<long>")
 
 
 def _same_row(a: str, b: str) -> Column:
@@ -152,24 +182,24 @@ def covered(d: DataFrame, size: int = WINDOW) -> DataFrame:
     release(places)
 
     place = F.struct("id", "tie", "p")
-    contents = saved(rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("anchor").alias("anchor")))
+    contents = saved(rows.groupBy("anchor", "key").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     shared = contents.groupBy("anchor").agg(F.count("*").alias("contents")).where("contents > 1").select(F.col("anchor").alias("_a"))
-    contents = contents.join(shared, F.col("anchor") == F.col("_a"), "left")
-    contents = saved(contents.where((F.col("n") > 1) | F.col("_a").isNotNull()).select("k1", "k2", "first", F.col("_a").isNotNull().alias("open")))
-    told = saved(rows.join(contents, ["k1", "k2"]).select(
-        "id", "tie", "p", "n", (place > F.col("first")).alias("later"),
-        F.when(F.col("open") & (place <= F.col("first")), F.arrays_zip("w1", "w2")).alias("w"),
+    told = contents.join(shared, F.col("anchor") == F.col("_a"), "left")
+    told = saved(told.where((F.col("n") > 1) | F.col("_a").isNotNull()).select("anchor", "key", "first", F.col("_a").isNotNull().alias("open")))
+    release(contents)
+    met = saved(rows.join(told, ["anchor", "key"]).select(
+        "id", "tie", "p", "n", "anchor", (place > F.col("first")).alias("later"), F.when(F.col("open") & (place <= F.col("first")), F.col("w")).alias("w"),
     ).where(F.col("later") | F.col("w").isNotNull()))
-    release(rows, contents)
+    release(rows, told)
 
-    windows = saved(told.where(F.col("w").isNotNull()).select("id", "tie", "p", F.posexplode("w").alias("d", "w")).select(
-        "id", "tie", (F.col("p") + F.col("d")).alias("p"), "w.w1", "w.w2"))
-    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("w1", "w2", "first")
-    again = windows.join(saved(firsts), ["w1", "w2"]).where(place > F.col("first")).select("id", "tie", "p", F.lit(1).alias("n"))
-    spans = told.where("later").select("id", "tie", "p", "n").union(again)
+    windows = saved(met.where(F.col("w").isNotNull()).select("id", "tie", "p", "anchor", F.posexplode("w").alias("d", "w")).select(
+        "id", "tie", (F.col("p") + F.col("d")).alias("p"), "anchor", "w"))
+    firsts = saved(windows.groupBy("anchor", "w").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("anchor", "w", "first"))
+    again = windows.join(firsts, ["anchor", "w"]).where(place > F.col("first")).select("id", "tie", "p", F.lit(1).alias("n"))
+    spans = met.where("later").select("id", "tie", "p", "n").union(again)
     span = F.struct(F.col("p").alias("start"), (F.col("p") + F.col("n") + (size - 1)).alias("end"))
     out = saved(spans.groupBy("id", "tie").agg(F.array_sort(F.collect_set(span)).alias("spans")))
-    release(told, windows)
+    release(met, windows, firsts)
     return out
 
 
@@ -190,8 +220,8 @@ def dedup_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts, gone = [], [], []
-            for blob, spans in zip(batch.column(1), batch.column(2), strict=True):
-                words = words_of(_unpacked(blob.as_py()))
+            for text, spans in zip(_unpacked(batch.column(1)), batch.column(2), strict=True):
+                words = text.split()
                 counts.append(len(words))
                 if spans.is_valid:
                     keep = np.ones(len(words), bool)
