@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from webframe.functions.media import sniff_kind
 from webframe.operators import diagnose as A
 from webframe.operators import media as M
-from webframe.operators import repair as P
 from webframe.operators import report as R
+from webframe.operators import rule_tables as RT
 from webframe.operators import structure as D
 from webframe.operators.extract import extract_dom, finish_rows, node_columns, node_tags
-from webframe.operators.rules import Field, Rule
+from webframe.operators.rules import Field, Rule, validate_rules
 from webframe.plans.catalog import query, table
 from webframe.plans.lineage import cut
+from webframe.plans.queries_pages import _LI
 from webframe.plans.steps import row_step
 from webframe.sources.nodes import html_nodes
 from webframe.sources.pages import read_pages
@@ -82,14 +83,18 @@ def relative_selector(spark, sf):
     return sel.groupBy("page_id", "selector").agg(F.count("*").alias("n"))
 
 
-@query("SELECT unnest(['title', 'link']) AS name")
+@query(
+    f"WITH {_LI} SELECT 'nav' AS rule_id, 'title' AS name, count(CASE WHEN txt <> '' THEN 1 END) AS filled FROM li "
+    "UNION ALL SELECT 'nav', 'link', count(CASE WHEN href <> '' THEN 1 END) FROM li"
+)
 def validate_fields(spark, sf):
-    """A column that repeats another in every row is dropped; the one empty everywhere finds no replacement."""
-    nodes = html_nodes(read_pages(spark, f"{sf}/pages.parquet"), ["node_id", "depth", "tag", "path", "anc_ids", "attrs", "own_text", "text"], ["li", "a"])
+    """A column that repeats another in every row is dropped; one that is empty everywhere finds no replacement and is told."""
+    pages = read_pages(spark, f"{sf}/pages.parquet")
+    nodes = cut(html_nodes(pages, RT.NODE_COLUMNS, ["nav", "ul", "li", "a"]).withColumn("site", F.lit("any")))
     rule = Rule("nav li", (Field("title", "a"), Field("caption", "li a"), Field("link", "a", "href")))
-    kept = P.validate_fields(extract_dom(nodes, rule), rule, {"title": ("b", None)})
-    names = F.array(*[F.lit(f.name) for f in kept.fields])
-    return spark.range(1).select(F.explode(names).alias("name"))
+    rules = validate_rules(spark.createDataFrame([("nav", "any", rule.to_json())], "rule_id string, site string, rule_json string"))
+    analysed = rules.select("rule_id", F.lit("title").alias("name"), F.lit("b").alias("selector"), F.lit(None).cast("string").alias("attribute"))
+    return RT.check_fields(RT.extract_by_rules(nodes, rules), rules, analysed).select("rule_id", "name", "filled")
 
 
 _MAGIC = {"en": "4F67675300020000", "fr": "664C614300000022", "de": "89504E470D0A1A0A", "es": "FFD8FFE000104A46"}
@@ -128,11 +133,29 @@ def row_steps(spark, sf):
     return row_step(shout, "event_id bigint, kind string")(e, {}).withColumnRenamed("_error", "problem")
 
 
-@query("SELECT page_id, 'unknown' AS state, FALSE AS challenged FROM pages WHERE NOT regexp_matches(html, '(?i)login|sign ?in|sign ?up|register|logout|log ?out|captcha|accounts\\.|/settings|/mypage|/dashboard|/stacc|bookmark')")
+@query()
 def page_signals(spark, sf):
-    """Login state and challenge of pages that mention neither."""
-    pages = read_pages(spark, f"{sf}/pages.parquet").where(~F.col("html").rlike(r"(?i)login|sign ?in|sign ?up|register|logout|log ?out|captcha|accounts\.|/settings|/mypage|/dashboard|/stacc|bookmark"))
-    nodes = cut(html_nodes(pages, R.TEXT_COLUMNS))
+    """Login state and challenge of every page; tests compare the operators with fixtures, SQL has no twin for their patterns."""
+    nodes = cut(html_nodes(read_pages(spark, f"{sf}/pages.parquet"), R.TEXT_COLUMNS))
     pt = R.page_text(nodes)
     state = A.login_state(A.login_signals(nodes, pt)).select("page_id", "state")
     return state.join(A.challenge(A.challenge_signals(nodes, pt)).select("page_id", "challenged"), "page_id")
+
+
+_ALL_MAGIC = {
+    "mp4": "0000001866747970", "matroska": "1A45DFA3", "flv": "464C5601", "avi": "524946460000000041564920", "wav": "524946460000000057415645",
+    "ogg": "4F676753", "flac": "664C6143", "webp": "524946460000000057454250", "png": "89504E470D0A1A0A", "jpeg": "FFD8FFE0",
+    "mp3": "4944330400000000000000FFFB9000",
+}
+
+
+@query(
+    "SELECT doc_id, CASE WHEN strlen(text) >= 12 THEN ["
+    + ", ".join(f"'{k}'" for k in _ALL_MAGIC) + f"][doc_id % {len(_ALL_MAGIC)} + 1] END AS kind FROM documents WHERE strlen(text) >= 12"
+)
+def sniff_all_kinds(spark, sf):
+    """Every document behind the first bytes of a container, each of eleven kinds."""
+    d = table(spark, sf, "documents").where(F.octet_length("text") >= 12)
+    heads = F.array(*[F.unhex(F.lit(x)) for x in _ALL_MAGIC.values()])
+    head = F.get(heads, (F.col("doc_id") % len(_ALL_MAGIC)).cast("int"))
+    return d.select("doc_id", sniff_kind(F.concat(head, F.encode("text", "utf-8"))).alias("kind"))

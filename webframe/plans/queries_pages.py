@@ -274,9 +274,9 @@ def drop_redundant_fields(spark, sf):
 
 
 def _with_pager(pages):
-    """Pages with an unlabelled pager that points at pages 1 to 3."""
+    """Whole pages, with an unlabelled pager ahead that points at pages 1 to 3."""
     pager = "".join(f'<a href="?page={i}"></a>' for i in (1, 2, 3))
-    return pages.withColumn("html", F.concat(F.regexp_replace("html", "</body>.*$", ""), F.lit(f'<div class="pager">{pager}</div>')))
+    return pages.withColumn("html", F.regexp_replace("html", "<body>", f'<body><div class="pager">{pager}</div>'))
 
 
 @query(
@@ -287,6 +287,51 @@ def pagination(spark, sf):
     return G.pagination(nodes, with_selector=False).select("page_id", "strategy", "current_page", "next_href")
 
 
+@query(
+    """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'rel-next' ELSE 'numeric' END AS strategy,
+    CASE page_id % 4 WHEN 0 THEN '/after-' WHEN 1 THEN '/rel-' ELSE '/page-3-' END || page_id AS next_href FROM pages WHERE page_id % 4 < 3"""
+)
+def pagination_kinds(spark, sf):
+    """Whole pages with a labelled link, a ``rel=next`` link or a numeric pager; a quarter have none."""
+    n = F.col("page_id").cast("string")
+    link = lambda head, path, tail: F.concat(F.lit(f"{head} href='/{path}-"), n, F.lit(f"'>{tail}"))
+    kinds = [
+        link("<p><a", "before", "Previous</a>"), link("<a", "after", "Next page</a></p>"), link("<p><a rel='next'", "rel", "more</a></p>"),
+        F.concat(link("<div class='pages'><a", "page-1", "1</a><span class='current'>2</span>"), link("<a", "page-3", "3</a></div>")),
+    ]
+    pager = F.when(F.col("page_id") % 4 == 0, F.concat(kinds[0], kinds[1])).when(F.col("page_id") % 4 == 1, kinds[2]).when(F.col("page_id") % 4 == 2, kinds[3]).otherwise("")
+    pages = _pages(spark, sf).withColumn("html", F.regexp_replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), pager)))
+    # addresses without a page number, so that only the pager speaks
+    pages = pages.withColumn("url", F.regexp_replace("url", r"[?#].*$", ""))
+    nodes = cut(html_nodes(pages, G.NODE_COLUMNS, carry=("url",)))
+    return G.pagination(nodes, with_selector=False).select("page_id", "strategy", "next_href")
+
+
+@query(
+    """SELECT page_id, 'Item ' || page_id AS og_title, CASE WHEN page_id % 2 = 0 THEN '/i/' || page_id || '.jpg' END AS og_image, page_id AS sku,
+    CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS blocks, ['price:' || (page_id % 90), 'name:Thing ' || page_id] AS micro FROM pages"""
+)
+def metadata_values(spark, sf):
+    """JSON-LD, Open Graph and microdata put into the pages and read back; a broken JSON-LD block is skipped."""
+    n = F.col("page_id").cast("string")
+    lit = F.lit
+    head = F.concat(
+        lit("<head><meta property='og:title' content='first'><meta property='og:title' content='Item "), n, lit("'>"),
+        F.when(F.col("page_id") % 2 == 0, F.concat(lit("<meta property='og:image' content='/i/"), n, lit(".jpg'>"))).otherwise(""),
+        lit("<script type='application/ld+json'>{\"sku\": "), n, lit("}</script><script type='application/ld+json'>{\"sku\": </script>"),
+        F.when(F.col("page_id") % 3 == 0, lit("<script type='application/ld+json'>[1, 2]</script>")).otherwise(""),
+    )
+    body = F.concat(lit("<body><div><meta itemprop='price' content='"), (F.col("page_id") % 90).cast("string"), lit("'><b itemprop='name'>Thing "), n, lit("</b></div>"))
+    html = F.regexp_replace(F.regexp_replace("html", lit("<head>"), head), lit("<body>"), body)
+    nodes = html_nodes(_pages(spark, sf).withColumn("html", html), ["node_id", "tag", "attrs", "own_text", "text"])
+    m = R.structured_metadata(nodes)
+    micro = F.transform("microdata", lambda x: F.concat(x["itemprop"], lit(":"), F.coalesce(x["content"], x["text"])))
+    return m.select(
+        "page_id", F.try_element_at("open_graph", lit("og:title")).alias("og_title"), F.try_element_at("open_graph", lit("og:image")).alias("og_image"),
+        F.get_json_object(F.get("json_ld", lit(0)), "$.sku").cast("bigint").alias("sku"), F.size("json_ld").alias("blocks"), micro.alias("micro"),
+    )
+
+
 @query(
     "SELECT page_id, 0 AS hits, 'div.pager' IS NOT NULL AND coalesce(try_cast(nullif(regexp_extract(url, '[?&]page=(\\d+)', 1), '') AS INTEGER), 1) < 3 AS has_fallback FROM pages"
 )

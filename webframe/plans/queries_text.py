@@ -323,3 +323,11 @@ def stable_hash(spark, sf):
     same = T.stable_hash("text", "lang") == T.stable_hash("lang", "text")
     as_map = T.stable_map_hash(F.create_map(F.lit("b"), "lang", F.lit("a"), "text")) == T.stable_map_hash(F.create_map(F.lit("a"), "text", F.lit("b"), "lang"))
     return d.where(same & as_map).select("doc_id", F.md5("text").alias("h"), F.when(F.col("lang") == "en", 1).otherwise(2).alias("k"))
+
+
+@query(
+    """SELECT event_id, md5('{"event_type":"' || event_type || '","props":' || to_json(props) || ',"user_id":' || user_id || '}') AS row_hash FROM events"""
+)
+def content_hash(spark, sf):
+    """The hash itself: MD5 of the row as JSON with its names in order."""
+    return table(spark, sf, "events").select("event_id", T.stable_hash("user_id", "props", "event_type").alias("row_hash"))
