@@ -17,7 +17,6 @@ stage 3 keeps one.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -26,18 +25,20 @@ from pyspark.sql import functions as F
 
 from webframe.llm import bpe, decontaminate, line_dedup, near_copies, toxicity
 from webframe.llm.common import free_name
-from webframe.plans.lineage import shared_folder
+from webframe.plans.lineage import cut, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that a model of this corpus and its labels does not reject; null and empty texts stay unless nearly all labels are 1."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs, labels)
     return toxicity.keep_clean(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, their texts without repeated passages of three lines; null texts stay null."""
     changed = F.col("n_removed") > 0
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
@@ -60,12 +61,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose id names no contaminated text; null ids are one id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontaminate.decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per row: number of tokens, digests of the ids and of the text decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     return bpe.encode_decode(docs, path, ("n_tokens", "ids_sha256", "decoded_sha256"))
 
@@ -83,10 +86,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written to the shared folder and read back."""
+    """All stages over ``documents``; what each returns is written to the shared folder, read back, and deleted once it has been read."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    for _, stage in STAGES:
+        kept = cut(stage(spark, docs, sf_dir))
+        release(docs)
+        docs = kept
     return docs
