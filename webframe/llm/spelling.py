@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +48,8 @@ CELL = 20_000
 MOST = 15
 #: Letters up to which words are verified side by side in arrays.
 WIDE = 24
-MAX_WORDS = 200_000
+#: Searches that are verified at a time, pairs that are compared at a time, words that a task counts before it hands them on.
+PART, PAIRS, MAX_WORDS = 4_000, 50_000, 100_000
 
 
 def words_of(doc_id: str, text: str) -> Counter:
@@ -144,6 +144,7 @@ class Trie:
         self.keys = []
         for level in range(counts.shape[1]):
             found, node = np.unique(node * (MOST + 1) + counts[:, level], return_inverse=True)
+            node = node.astype(np.int64)
             self.keys.append(found)
         self.order = np.argsort(node, kind="stable")
         self.begin = np.searchsorted(node[self.order], np.arange(len(self.keys[-1]) + 1) if self.keys else [0, 1])
@@ -202,7 +203,7 @@ def verified(x: Spelled, i: np.ndarray, y: Spelled, j: np.ndarray) -> np.ndarray
     long = (a > WIDE) | (b > WIDE)
     for k in np.flatnonzero(long & (abs(a - b) <= 1)):
         out[k] = one_edit(x.words[i[k]], y.words[j[k]])
-    for k in np.array_split(np.flatnonzero(~long & (abs(a - b) <= 1)), max(1, len(i) // 200_000)):
+    for k in np.array_split(np.flatnonzero(~long & (abs(a - b) <= 1)), max(1, len(i) // PAIRS)):
         p, q = x.letters[i[k]], y.letters[j[k]]
         differs = p != q
         where = differs.argmax(axis=1)
@@ -216,13 +217,13 @@ def verified(x: Spelled, i: np.ndarray, y: Spelled, j: np.ndarray) -> np.ndarray
     return out
 
 
-def _cell(words: list[str], n: np.ndarray, searched: list[str], searched_n: np.ndarray, spent: np.ndarray) -> pd.DataFrame:
+def _cell(words: list[str], n: np.ndarray, searched: list[str], searched_n: np.ndarray, spent: np.ndarray) -> pa.Table:
     """``word, near, near_n`` in both directions for the pairs of one cell."""
     x, y = Spelled(searched), Spelled(words)
     trie, rest = Trie(vectors(words)[:, TOP:]), vectors(searched)[:, TOP:]
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for at, leaf, s in trie.search(rest, spent):
-        for part in np.array_split(np.arange(len(at)), max(1, len(at) // 20_000)):
+        for part in np.array_split(np.arange(len(at)), max(1, len(at) // PART)):
             count, j = trie.words_at(leaf[part])
             i = np.repeat(at[part], count)
             ok = verified(x, i, y, j)
@@ -231,8 +232,9 @@ def _cell(words: list[str], n: np.ndarray, searched: list[str], searched_n: np.n
             if ok.any():
                 found.append((i[ok], j[ok]))
     i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    a, b = np.array(searched, object)[i], np.array(words, object)[j]
-    return pd.DataFrame({"word": np.concatenate([a, b]), "near": np.concatenate([b, a]), "near_n": np.concatenate([n[j], searched_n[i]])})
+    a, b = pa.array(searched, pa.string()).take(pa.array(i)), pa.array(words, pa.string()).take(pa.array(j))
+    numbers = pa.array(np.concatenate([n[j], searched_n[i]]).astype(np.int64))
+    return pa.table({"word": pa.concat_arrays([a, b]), "near": pa.concat_arrays([b, a]), "near_n": numbers})
 
 
 def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:
@@ -247,14 +249,13 @@ def near_words(words: DataFrame, cell: int = CELL) -> DataFrame:
     grid = d.where(stored).select("subtree", mine("rows").alias("i"), along("cols").alias("j"), "spent", "word", "n").union(
         d.where(~stored).select("subtree", along("rows").alias("i"), mine("cols").alias("j"), "spent", "word", "n"))
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = (pdf["spent"] < 0).to_numpy()
-        a, b = pdf[own], pdf[~own]
-        if a.empty or b.empty:
-            return pd.DataFrame({"word": [], "near": [], "near_n": []})
-        return _cell(a["word"].tolist(), a["n"].to_numpy(), b["word"].tolist(), b["n"].to_numpy(), b["spent"].to_numpy())
+    def search(cell: pa.Table) -> pa.Table:
+        spent, n = cell.column("spent").to_numpy(), cell.column("n").to_numpy()
+        own = spent < 0
+        mine, others = (cell.column("word").filter(pa.array(x)).to_pylist() for x in (own, ~own))
+        return _cell(mine, n[own], others, n[~own], spent[~own])
 
-    out = saved(grid.groupBy("subtree", "i", "j").applyInPandas(search, "word string, near string, near_n long"))
+    out = saved(grid.groupBy("subtree", "i", "j").applyInArrow(search, "word string, near string, near_n long"))
     release(dealt)
     return out
 
