@@ -89,6 +89,10 @@ class Toxicity:
     def __getstate__(self):
         return {"weights": self.weights, "bias": self.bias, "_words": {}}
 
+    def forget(self) -> None:
+        """Empty the table of words; the worker may serve another stage next."""
+        self._words.clear()
+
     def word(self, word: str) -> float:
         known = self._words.get(word)
         if known is None:
@@ -186,6 +190,7 @@ def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "te
             values = [model.score(t.as_py()) for t in batch.column(1)]
             made = [pa.array(values, pa.float64()), pa.array([int(v >= 0.5) for v in values], pa.int32())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "score", "predicted"])
+        model.forget()
 
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
@@ -197,12 +202,19 @@ def keep_clean(docs: DataFrame, model: Toxicity, text: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([model.score(t.as_py()) < 0.5 for t in batch.column(text)], pa.bool_()))
+        model.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row, by a model trained on the rows that are not held out."""
+    """``doc_id, held_out, score, predicted`` per row, by a model trained on the rows that are not held out.
+
+    Null and empty texts score by the model's bias alone. Repeated rows and repeated or
+    null keys give a row each (a null key counts as held out). Empty tables give none;
+    without labels, or with labels of one kind, every score is that kind's share. Only
+    key and text are read, so other columns cannot clash.
+    """
     model = train(docs, labels, key, text, sample)
     d = score(docs, model, key, text)
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
