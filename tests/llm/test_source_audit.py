@@ -8,7 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from webframe.llm.source_audit import digest_of, source_audit, source_audit_sql
+from webframe.llm import source_audit as module
+from webframe.llm.source_audit import source_audit, source_audit_sql
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
@@ -67,8 +68,17 @@ def test_equals_plain_counts(spark, bits):
     assert {g[2] for g in got} == {"pair", "term"}
 
 
-def test_shared_digests_occur():
-    assert len({digest_of(bytes([97 + i]), 3) for i in range(20)}) < 9
+def test_terms_are_named_and_shared_digests_noticed():
+    terms = module._Terms(3, False)
+    text, which, n, digest, new, _ = terms.read([b"a B c D e f g h", b"a a A", b"1 2"])
+    assert sorted({t for _, t in new}) == list("abcdefgh") and len({h for h, _ in new}) < 8
+    assert n[text == 1].tolist() == [3] and 2 not in text and n.sum() == 11
+    assert terms.read([b"a"])[4] in ([], [(int(digest[which[text == 1][0]]), "a")])
+
+
+def test_very_long_text_is_one_document(monkeypatch, spark):
+    monkeypatch.setattr(module, "PIECE", 40)
+    assert b"".join(module._cut("é word ".encode() * 50)) == "é word ".encode() * 50 and len(list(module._cut(b"ab cd " * 50))) > 3
 
 
 def test_empty_repeated_and_long(spark):

@@ -2,11 +2,11 @@
 
 Terms cross shuffles as 64-bit digests; their strings come late:
 
-* One pass over the texts writes, per batch, the counts of every (language, source,
-  term), with the term's digest and the term itself in columns of their own.
+* One pass over the texts counts, per task, the digests of every (language, source),
+  and writes each term once beside its digest.
 * A dictionary of digests keeps the smallest and the largest string of each. Where
-  the two differ, several terms share a digest; only these are split, by taking the
-  string into their key. All other keys stay of fixed width.
+  the two differ, several terms share a digest; only for these are the texts read
+  again, and the string is taken into their key. All other keys stay of fixed width.
 * Everything after that is done on digests: document frequencies, kept terms, totals,
   shares, pairs of sources. Strings are joined back for the rows of the report only.
 
@@ -18,16 +18,16 @@ correction for the terms that both have.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webframe.llm.common import saved
+from webframe.llm.recompression import PIECE, word_digests
 from webframe.plans.lineage import release
 from webframe.plans.ordering import top_per_key
 
@@ -35,74 +35,194 @@ MIN_DOCS = 30
 TOP = 50
 SCALE = 1_000_000_000
 SMOOTH = 5
-#: Runs of ASCII letters and of anything beyond ASCII, in lower-cased UTF-8.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
-#: Terms counted in a task before they are handed on.
-MAX_TERMS = 200_000
+#: Counts, and terms already named, that a task holds.
+MAX_ROWS, MAX_NAMED = 1_000_000, 200_000
 EXACT = "decimal(38,0)"
 
-
-def terms_of(text: str) -> list[bytes]:
-    return TERM.findall(text.encode("utf-8", "surrogatepass").lower())
-
-
-def digest_of(term: bytes, bits: int = 64) -> int:
-    """Signed 64-bit digest of a term; fewer bits are for tests of collisions."""
-    value = xxhash.xxh3_64_intdigest(term) >> (64 - bits)
-    return value - (1 << 64) if value >> 63 else value
+_BYTE = np.arange(256, dtype=np.uint8)
+#: A-Z to a-z, and the bytes that terms are made of: ASCII letters and all of what lies beyond ASCII.
+_LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
+_TERM = ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
+_COUNTED = "lang string, source string, h long, n long, docs long, term string"
+
+
+def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``PIECE`` bytes."""
+    lo, held = 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= PIECE:
+            yield lo, i + 1
+            lo, held = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A very long text in pieces that end where no term is."""
+    at = 0
+    while len(text) - at > 2 * PIECE:
+        end = at + PIECE
+        while end < len(text) and _TERM[_LOWER[text[end]]]:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class _Terms:
+    """Digests of the terms of some texts, and the spelling of those not named before."""
+
+    def __init__(self, bits: int, spelled_out: bool):
+        self.shift, self.spelled_out = 64 - bits, spelled_out
+        self.named: dict[int, int] = {}
+
+    def read(self, texts: list[bytes]):
+        """For each (text, term): text, place of the term's digest, number; the digests; ``(digest, term)`` of the terms that are new.
+
+        Spelled out, terms are told apart by both lanes, and the spelling of every digest comes last.
+        """
+        data = _LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        begins = np.cumsum([0, *map(len, texts)])[:-1]
+        start, end, text, lanes = word_digests(data, begins, _TERM)
+        digest = (lanes[0] >> np.uint64(self.shift)).view(np.int64)
+        if not len(start):
+            return text, text, text, digest, [], []
+        if self.spelled_out:
+            digest_of, first, of = np.unique(np.stack([lanes[0], lanes[1]], 1), axis=0, return_index=True, return_inverse=True)
+            of = of.ravel()
+        else:
+            digest_of, first, of = np.unique(digest, return_index=True, return_inverse=True)
+        spell = lambda k: data[start[k]: end[k]].tobytes().decode("utf-8", "replace")
+        pairs, number = np.unique(text * len(first) + of, return_counts=True)
+        which = pairs % len(first)
+        if self.spelled_out:
+            return pairs // len(first), which, number, digest[first], [], [spell(k) for k in first]
+        new = []
+        second = lanes[1][first]
+        for k, h, other in zip(first.tolist(), digest_of.tolist(), second.tolist(), strict=True):
+            if self.named.get(h) != other:
+                if len(self.named) >= MAX_NAMED:
+                    self.named.clear()
+                self.named[h] = other
+                new.append((h, spell(k)))
+        for k in np.flatnonzero(lanes[1] != second[of]):  # a digest that several terms share
+            new.append((int(digest[k]), spell(k)))
+        return pairs // len(first), which, number, digest_of, new, []
+
+
+def _summed(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows of ``(group, digest, n, docs)`` with equal group and digest added up."""
+    group, digest, n, docs = columns
+    order = np.lexsort((digest, group))
+    group, digest, n, docs = (c[order] for c in columns)
+    first = np.ones(len(group), bool)
+    first[1:] = (group[1:] != group[:-1]) | (digest[1:] != digest[:-1])
+    at = np.flatnonzero(first)
+    return [group[at], digest[at], np.add.reduceat(n, at), np.add.reduceat(docs, at)] if len(at) else [group, digest, n, docs]
+
+
+def _grouped(group: np.ndarray, which: np.ndarray, n: np.ndarray, digest: np.ndarray) -> list[np.ndarray]:
+    """The same for one row per text and term, of few groups and terms; ``which`` is the place of the digest."""
+    size = max(1, len(digest))
+    key, at = np.unique(group * size + which, return_inverse=True)
+    return [key // size, digest[key % size], np.bincount(at, n, len(key)).astype(np.int64), np.bincount(at, minlength=len(key))]
 
 
 def _counted(d: DataFrame, bits: int) -> DataFrame:
-    """``lang, source, h, term, n, docs`` of ``d(lang, source, text)``: partial counts per task."""
+    """Partial counts of ``d(lang, source, text)`` by digest (``term`` null), and the terms of the digests (``lang`` null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, int] = {}
-        groups: dict[tuple, tuple[Counter, Counter]] = {}
-        held = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, docs) in groups.items():
-                terms = list(n)
-                digests = []
-                for t in terms:
-                    h = known.get(t)
-                    if h is None:
-                        h = digest_of(t, bits)
-                        if len(t) <= 64 and len(known) < MAX_TERMS:
-                            known[t] = h
-                    digests.append(h)
-                k = len(terms)
-                made = [pa.array([lang] * k, pa.string()), pa.array([source] * k, pa.string()), pa.array(digests, pa.int64())]
-                made += [pa.array([t.decode("utf-8", "surrogatepass") for t in terms], pa.string())]
-                made += [pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())]
-                yield pa.RecordBatch.from_arrays(made, ["lang", "source", "h", "term", "n", "docs"])
-            groups.clear()
+        terms = _Terms(bits, False)
+        groups: dict[tuple[str, str], int] = {}
+        held: list[list[np.ndarray]] = []
+
+        def counts() -> pa.RecordBatch:
+            group, h, n, docs = held[0]
+            names = [pa.array([g[k] for g in groups], pa.string()).take(pa.array(group)) for k in (0, 1)]
+            made = [*names, *(pa.array(x.astype(np.int64)) for x in (h, n, docs)), pa.nulls(len(h), pa.string())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, ["lang", "source", "h", "n", "docs", "term"])
+
+        def spelled(new: list[tuple[int, str]]) -> pa.RecordBatch:
+            k = len(new)
+            made = [pa.nulls(k, pa.string()), pa.nulls(k, pa.string()), pa.array([h for h, _ in new], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())]
+            return pa.RecordBatch.from_arrays([*made, pa.array([t for _, t in new], pa.string())], ["lang", "source", "h", "n", "docs", "term"])
+
+        for batch in batches:
+            langs, sources = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            group_of = np.array([groups.setdefault(g, len(groups)) for g in zip(langs, sources, strict=True)], np.int64)
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(2).cast(pa.binary())]
+            for lo, hi in _blocks(texts):
+                found = []
+                if hi - lo == 1:  # one text may be very long: its pieces are one document
+                    for piece in _cut(texts[lo]):
+                        _, which, n, h, new, _ = terms.read([piece])
+                        found.append([np.zeros(len(n), np.int64), h[which], n, np.ones(len(n), np.int64)])
+                        if new:
+                            yield spelled(new)
+                    _, h, n, _ = _summed(*map(np.concatenate, zip(*found, strict=True)))
+                    rows = [np.full(len(h), group_of[lo]), h, n, np.ones(len(h), np.int64)]
+                else:
+                    text, which, n, h, new, _ = terms.read(texts[lo:hi])
+                    if new:
+                        yield spelled(new)
+                    rows = _grouped(group_of[lo + text], which, n, h)
+                held.append(rows)
+                if sum(len(x[0]) for x in held) >= MAX_ROWS:
+                    held[:] = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+                    if len(held[0][0]) >= MAX_ROWS // 2:
+                        yield counts()
+        if held:
+            held[:] = [_summed(*map(np.concatenate, zip(*held, strict=True)))]
+            yield counts()
+
+    return d.mapInArrow(run, _COUNTED)
+
+
+def _spelled_counts(d: DataFrame, bits: int) -> DataFrame:
+    """The same counts with every term spelled out, per document."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms(bits, True)
         for batch in batches:
-            for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), strict=True):
-                own = Counter(terms_of(text.as_py()))
-                n, docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                n.update(own)
-                docs.update(own.keys())
-                held += len(n) - before
-                if held >= MAX_TERMS:
-                    yield from flush()
-                    held = 0
-        yield from flush()
-
-    return d.mapInArrow(run, "lang string, source string, h long, term string, n long, docs long")
-
-
-def _split(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Counts with a key ``(h, part)``, ``part`` null but for the terms of shared digests; and ``h, part, term``."""
-    spelled = saved(counted.groupBy("h").agg(F.min("term").alias("least"), F.max("term").alias("most")))
-    shared = saved(spelled.where(F.col("least") < F.col("most")).select(F.col("h").alias("_h")))
-    keyed = counted.join(shared, F.col("h") == F.col("_h"), "left")
-    part = F.when(F.col("_h").isNotNull(), F.col("term"))
-    keyed = keyed.select("lang", "source", "h", part.alias("part"), "n", "docs")
-    alone = spelled.where(F.col("least") == F.col("most")).select("h", F.lit(None).cast("string").alias("part"), F.col("least").alias("term"))
-    return keyed, alone
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(2).cast(pa.binary())]
+            for lo, hi in _blocks(texts):
+                text, which, n, h, _, names = terms.read(texts[lo:hi])
+                at = pa.array(lo + text)
+                made = [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[which]), pa.array(n.astype(np.int64)), pa.array(np.ones(len(n), np.int64))]
+                made.append(pa.array(names, pa.string()).take(pa.array(which)))
+                yield pa.RecordBatch.from_arrays(made, ["lang", "source", "h", "n", "docs", "term"])
+
+    return d.mapInArrow(run, _COUNTED)
+
+
+def _summed_up(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+
+
+def _by_source(d: DataFrame, counted: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts by (lang, source, h, part), the kept terms by (lang, h, part), and ``h, term`` of the digests of one term.
+
+    ``part`` is null but for the terms of shared digests. A digest that reaches too few
+    documents as a whole has no kept term, so only the others are spelled and split.
+    """
+    none = F.lit(None).cast("string").alias("part")
+    whole = saved(_summed_up(counted.where(F.col("term").isNull()), "lang", "source", "h"))
+    reach = saved(_summed_up(whole, "lang", "h").where(F.col("docs") >= min_docs))
+    named = counted.where(F.col("term").isNotNull()).select("h", "term").join(reach.select("h").distinct(), "h", "left_semi")
+    spelled = named.groupBy("h").agg(F.min("term").alias("term"), F.max("term").alias("most"))
+    spelled = saved(spelled)
+    shared = saved(spelled.where(F.col("most") > F.col("term")).select("h"))
+    alone = spelled.where(F.col("most") == F.col("term")).select("h", "term")
+    if not shared.limit(1).count():
+        return whole.select("lang", "source", "h", none, "n"), reach.select("lang", "h", none, "n"), alone
+    # texts are read again for the terms of shared digests only
+    again = _spelled_counts(d, bits).join(shared, "h", "left_semi").select("lang", "source", "h", F.col("term").alias("part"), "n", "docs")
+    parts = whole.join(shared, "h", "left_anti").select("lang", "source", "h", none, "n", "docs")
+    parts = saved(parts.unionByName(_summed_up(again, "lang", "source", "h", "part")))
+    kept = _summed_up(parts, "lang", "h", "part").where(F.col("docs") >= min_docs)
+    return parts.drop("docs"), saved(kept.drop("docs")), alone
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -112,10 +232,9 @@ def _share(n: Column, total: Column, terms: Column) -> Column:
 
 
 def _same(left: str, right: str, *names: str) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}"))
-    return cond
+    """Equal names; only ``part`` can be null."""
+    tests = [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) if n == "part" else F.col(f"{left}.{n}") == F.col(f"{right}.{n}") for n in names]
+    return reduce(Column.__and__, tests)
 
 
 def source_audit(
@@ -134,10 +253,7 @@ def source_audit(
     d = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang, "lang"), (source, "source"), (text, "text"))])
     counted = saved(_counted(d, bits))
     groups = saved(d.select("lang", "source").distinct())
-    keyed, alone = _split(counted)
-    by_source = saved(keyed.groupBy("lang", "source", "h", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    kept = by_source.groupBy("lang", "h", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    kept = saved(kept.where(F.col("docs") >= min_docs).select("lang", "h", "part", "n"))
+    by_source, kept, alone = _by_source(d, counted, min_docs, bits)
     langs = saved(kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("total")))
 
     own = by_source.alias("s").join(kept.alias("k"), _same("s", "k", "lang", "h", "part"))
@@ -156,7 +272,7 @@ def source_audit(
     shares = saved(shares)
     pairs, terms = _pairs(totals, shares), _terms(shares, alone, top)
     out = saved(pairs.unionByName(terms))
-    release(counted, by_source, kept, langs, shares)
+    release(counted, langs, shares)
     return out
 
 
@@ -199,8 +315,6 @@ def _pairs(totals: DataFrame, shares: DataFrame) -> DataFrame:
 
 def _terms(shares: DataFrame, alone: DataFrame, top: int) -> DataFrame:
     """The terms that stand out most; ties at the last rank are kept until the strings decide."""
-    from pyspark.sql import Window
-
     found = shares.where(F.col("p") > F.col("q")).select("lang", "source", "h", "part", (F.col("p") - F.col("q")).alias("value"))
     place = F.rank().over(Window.partitionBy("lang", "source").orderBy(F.desc("value")))
     found = saved(found.withColumn("place", place).where(F.col("place") <= top).drop("place"))
@@ -215,8 +329,6 @@ def _ranked(d: DataFrame, top: int | None) -> DataFrame:
     order = [F.desc("value"), F.asc("item")]
     if top is not None:
         return top_per_key(d, ["lang", "source"], order, top, "rank").select("lang", "source", "part", "item", "value", F.col("rank").cast("int").alias("rank"))
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(*order))
     return d.select("lang", "source", "part", "item", "value", rank.cast("int").alias("rank"))
 
