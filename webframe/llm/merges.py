@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 INFINITE = 1 << 60
+#: Pairs of tokens whose fit is remembered; the table is emptied when it is full.
+MAX_PAIRS = 300_000
+#: Bits of a token id in the key of a pair.
+ID_BITS = 24
 
 
 def byte_letters() -> dict[str, int]:
@@ -39,20 +44,24 @@ class Merges:
             return "".join(map(chr, units[:-1])) + chr(units[-1] + 256 * ends)
 
         vocab = model["vocab"]
+        size = max(vocab.values()) + 1
         self.ids: dict[str, int] = {}
-        self.rank, self.left, self.right, self.pairs = {}, {}, {}, {}
+        #: by token: rank of the merge that makes it (-1: a single symbol), and its two halves
+        self.rank, self.left, self.right = (array("i", [-2]) * size for _ in range(3))
+        self.pairs: dict[int, int] = {}
         for token, i in vocab.items():
             if len(s := symbols(token)) == 1:
                 self.ids[s], self.rank[i] = i, -1
         for r, (a, b) in enumerate(model["merges"]):
             token, a, b = a + b, vocab[a], vocab[b]
             i = vocab[token]
-            self.pairs[a, b] = i
-            if i not in self.rank:
+            self.pairs[a << ID_BITS | b] = i
+            if self.rank[i] == -2:
                 self.ids[symbols(token)] = i
                 self.rank[i], self.left[i], self.right[i] = r, a, b
         self.text = {i: s for s, i in self.ids.items()}
-        self._fits: dict[tuple[int, int], bool] = {}
+        #: pairs tried so far
+        self.known: dict[int, bool] = {}
 
     def fits(self, a: int, b: int) -> bool:
         """True if token *b* may follow token *a*: no merge across their border comes before those that made them.
@@ -62,15 +71,18 @@ class Merges:
         before the merge that used up the left piece, and not after the one that
         used up the right piece (equal ranks go from left to right).
         """
-        known = self._fits.get((a, b))
+        key = a << ID_BITS | b
+        known = self.known.get(key)
         if known is None:
-            known = self._fits[a, b] = self._fit(a, b)
+            if len(self.known) >= MAX_PAIRS:
+                self.known.clear()
+            known = self.known[key] = self._fit(a, b)
         return known
 
     def _fit(self, a: int, b: int) -> bool:
         rank, used_a, used_b = self.rank, INFINITE, INFINITE
         while True:
-            cross = self.pairs.get((a, b))
+            cross = self.pairs.get(a << ID_BITS | b)
             if cross is not None and rank[cross] < used_a and rank[cross] <= used_b:
                 return False
             ra, rb = rank[a], rank[b]
@@ -81,10 +93,9 @@ class Merges:
             else:
                 used_b, b = rb, self.left[b]
 
-    def trim(self, limit: int = 2_000_000) -> None:
-        """Bound the table of tried pairs; it fills again."""
-        if len(self._fits) > limit:
-            self._fits.clear()
+    def trim(self) -> None:
+        """Empty the table of tried pairs; it fills again."""
+        self.known.clear()
 
     def special_pattern(self) -> re.Pattern | None:
         """Finds the added tokens, which the library takes out of a text before anything else."""
@@ -107,10 +118,21 @@ def every_char() -> str:
     return "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
 
 
+def chars_matching(runs: re.Pattern) -> np.ndarray:
+    """Which characters Python's own engine takes for a class, given as a pattern of its runs."""
+    out = np.zeros(0x110000, bool)
+    text = every_char()
+    codes = codes_of(text)
+    for m in runs.finditer(text):
+        out[codes[m.start(): m.end()]] = True
+    return out
+
+
 def chars_of(pattern: str) -> str:
     """The characters that the library's own regex engine takes for a class; its Unicode version is not Python's."""
-    found = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True).pre_tokenize_str(every_char())
-    return "".join(piece for piece, _ in found)
+    split, text = pre_tokenizers.Split(Regex(f"{pattern}+"), "removed", invert=True), every_char()
+    blocks = (text[at: at + (1 << 15)] for at in range(0, len(text), 1 << 15))  # the library holds far more per character
+    return "".join(piece for block in blocks for piece, _ in split.pre_tokenize_str(block))
 
 
 def lower_exceptions() -> dict[str, str]:
