@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from webframe.llm.common import saved
 
 THRESHOLD = 0.6
-# Dots, dashes and plus signs belong to a word only between letters or digits.
-WORD_SPLIT = r"(?:[^a-z0-9.+\-]|[.+\-](?![a-z0-9])|(?<![a-z0-9])[.+\-])+"
+# Dots, dashes and plus signs belong to a word only alone between letters or digits; at the ends of a text they are trimmed.
+WORD_SPLIT = r"[^a-z0-9]{2,}|[^a-z0-9.+\-]"
+JOINERS = ".+-"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice|unlicense)[^/]*$"
 
 # Names, notices and opening sentences of public licences.
@@ -51,7 +52,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 def words_of(text: Column) -> Column:
     """Lower-cased words."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), WORD_SPLIT), "")
+    return F.array_remove(F.split(F.trim(F.lower(F.coalesce(text, F.lit(""))), F.lit(JOINERS)), WORD_SPLIT), "")
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -131,9 +132,9 @@ def own_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: flo
     needed = weights.withColumn("rest", F.sqrt(F.sum(F.col("x") * F.col("x")).over(lighter))).where(F.col("rest") >= threshold)
     marks = F.array(*[F.lit(w) for w in sorted(needed.agg(F.collect_set("word")).first()[0])])
     marked = docs.where(F.col("text").isNotNull() & F.arrays_overlap(words_of(F.col("text")), marks))
-    lines = marked.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("unit", "line"))
-    units = lines.union(marked.select("doc_id", F.lit(-1).alias("unit"), F.col("text").alias("line")))
-    units = units.select("doc_id", "unit", words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", marks))
+    # the whole text and its lines, from one scan
+    units = marked.select("doc_id", F.posexplode(F.concat(F.array("text"), F.split("text", "\n", -1))).alias("unit", "line"))
+    units = units.select("doc_id", (F.col("unit") - 1).alias("unit"), words_of(F.col("line")).alias("w")).where(F.arrays_overlap("w", marks))
     tf = saved(units.select("doc_id", "unit", F.explode("w").alias("word")).groupBy("doc_id", "unit", "word").agg(F.count("*").alias("tf")))
     tf = saved(tf.join(_possible(tf, weights, known_idf, threshold), _same(["doc_id", "unit"]), "left_semi"))
     mine = _weights(tf, ["doc_id", "unit"], idf(_frequencies(docs, saved(tf.select("word").distinct()))))
