@@ -189,12 +189,14 @@ def _gap(ta: Column, tb: Column, left: Column, right: Column) -> Column:
         ra, rb = F.reverse(_tail_from(s["a"], s["n"])), F.reverse(_tail_from(s["b"], s["n"]))
         return let(F.struct(ra.alias("ra"), rb.alias("rb"), s["n"].alias("n")), lambda t: let(_equal_head(t["ra"], t["rb"]), lambda m: F.struct(
             F.reverse(_tail_from(t["ra"], m)).alias("a"), F.reverse(_tail_from(t["rb"], m)).alias("b"),
-            # a pure insertion also takes the token before it
-            F.get(ta, left["i"] + t["n"]).alias("before"),
+            # a pure insertion also takes what is before it, back to a word
+            F.reverse(F.slice(ta, F.lit(1), left["i"] + t["n"] + 1)).alias("before"),
         )))
 
     def named(g: Column) -> Column:
-        lead = F.when(F.size(g["a"]) == 0, F.coalesce(g["before"], F.lit(""))).otherwise("")
+        word = F.array_position(F.transform(g["before"], lambda x: x.rlike(_WORD)), True).cast("int")
+        back = F.slice(g["before"], F.lit(1), F.when(word > 0, word).otherwise(F.size(g["before"])))
+        lead = F.when(F.size(g["a"]) == 0, F.array_join(F.reverse(back), "")).otherwise("")
         old, new = F.concat(lead, F.array_join(g["a"], "")), F.concat(lead, F.array_join(g["b"], ""))
         pa, pb = F.split(old, "_"), F.split(new, "_")
         differ = F.filter(F.arrays_zip(pa.alias("x"), pb.alias("y")), lambda z: z["x"] != z["y"])
