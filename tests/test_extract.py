@@ -110,3 +110,12 @@ def test_validate_items_keeps_two_messages(spark):
     valid, errors = validate_items(d, {"a": "int", "b": "int", "c": "int"})
     assert [r["seq"] for r in valid.collect()] == [2]
     assert [len(r["messages"]) for r in errors.collect()] == [2]
+
+
+def test_validate_items_compares_integers_without_casting(spark):
+    d = spark.sql("SELECT * FROM VALUES (1L, 127L), (2L, 128L), (3L, -128L), (4L, -129L), (5L, NULL), (6L, 9223372036854775807L) AS t(seq, a)")
+    valid, errors = validate_items(d, {"a": "tinyint"})
+    assert sorted(r["seq"] for r in valid.collect()) == [1, 3, 5]
+    assert sorted(r["seq"] for r in errors.collect()) == [2, 4, 6]
+    # a try_cast that fails costs an exception a row
+    assert "try_cast" not in errors._jdf.queryExecution().optimizedPlan().toString().lower()
