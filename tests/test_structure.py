@@ -210,3 +210,13 @@ def test_uniqueness_inside_an_item_deeper_than_twelve_levels(page):
     cands = D.list_candidates(nodes).where("rank = 1")
     found = [f["selector"] for f in D.infer_fields(cands, nodes).collect() if f["selector"].endswith("b.x")]
     assert any(s.startswith("div.q") for s in found)
+
+
+def test_discovery_broadcasts_no_elements(page):
+    """Tables of elements compress so well that Spark broadcast them by the size of their files."""
+    item = "<li class='{0}'><a href='/x'>Title of item</a></li>"
+    nodes = nodes_of(page, "<html><body><nav><ul>" + "".join(item.format(c) for c in "aaabbb") + "</ul></nav></body></html>")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan(D.list_candidates(nodes, merge=True))
+    assert "Broadcast" not in plan(D.list_candidates(nodes, scope="nav"))
+    assert "Broadcast" not in plan(D.unique_selector(nodes, nodes.where("tag = 'ul'")))
