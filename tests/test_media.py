@@ -123,3 +123,11 @@ def test_collecting_addresses(spark, page):
     wide = M.min_width(spark.createDataFrame([(1, "http://h/a.jpg"), (1, "http://h/zz.jpg")], "page_id bigint, url string"), M.image_sizes(nodes, pages), 50)
     assert [r["url"] for r in wide.collect()] == ["http://h/zz.jpg"]
     assert [r["url"] for r in M.pattern_urls(spark.createDataFrame([(1, '{"a":"https://x/1.pdf","b":"https://x/2.png"}')], "id int, data string"), r"\.pdf$").collect()] == ["https://x/1.pdf"]
+
+
+def test_rewrite_rules_align_each_pair_once(spark):
+    pairs = spark.createDataFrame([(1, "http://h/small/i1.png", "http://h/large/i1.png")], "seq int, thumb string, original string")
+    rules = M.derive_rewrite_rules(pairs)
+    assert [(r["replacement"], r["pairs"]) for r in rules.collect()] == [("large", 1)]
+    # as columns the alignment was worked out again wherever it was read
+    assert len(rules._jdf.queryExecution().optimizedPlan().toString()) < 20000

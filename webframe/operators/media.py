@@ -235,14 +235,24 @@ def derive_rewrite_rules(pairs: DataFrame) -> DataFrame:
     p = pairs.select("seq", F.trim("thumb").alias("thumb"), F.trim("original").alias("original"))
     p = p.where((F.col("thumb") != "") & (F.col("original") != "") & (F.col("thumb") != F.col("original")))
     tokens = lambda c: F.regexp_extract_all(c, F.lit(_TOKEN), 1)
-    d = p.join(_anchors(p), "seq", "left").select("seq", tokens("thumb").alias("ta"), tokens("original").alias("tb"), "anchors")
     none = F.array().cast("array<struct<i:int,j:int>>")
     begin = F.struct(F.lit(-1).alias("i"), F.lit(-1).alias("j"))
-    d = d.withColumn("chain", _rising(F.coalesce("anchors", none)))
-    d = d.withColumn("marks", F.concat(F.array(begin), F.col("chain"), F.array(F.struct(F.size("ta").alias("i"), F.size("tb").alias("j")))))
-    gaps = F.transform(F.sequence(F.lit(0), F.size("marks") - 2), lambda k: _gap(F.col("ta"), F.col("tb"), F.get("marks", k), F.get("marks", k + 1)))
-    d = d.select("seq", F.array_compact(gaps).alias("changes"))
-    d = d.where((F.size("changes") > 0) & F.forall("changes", lambda c: c["old"] != "")).select("seq", _rule(F.col("changes")).alias("r"))
+
+    def marked(s: Column) -> Column:
+        end = F.struct(F.size(s["a"]).alias("i"), F.size(s["b"]).alias("j"))
+        return let(F.struct(s["a"].alias("a"), s["b"].alias("b"), F.concat(F.array(begin), _rising(s["anchors"]), F.array(end)).alias("marks")), changed)
+
+    def changed(s: Column) -> Column:
+        gap = lambda k: _gap(s["a"], s["b"], F.get(s["marks"], k), F.get(s["marks"], k + 1))
+        return F.array_compact(F.transform(F.sequence(F.lit(0), F.size(s["marks"]) - 2), gap))
+
+    def ruled(changes: Column) -> Column:
+        return F.when((F.size(changes) > 0) & F.forall(changes, lambda c: c["old"] != ""), _rule(changes))
+
+    # every step is bound to a name and the rule exploded: as columns, Spark would work them out again at every place that reads them
+    sides = F.struct(tokens("thumb").alias("a"), tokens("original").alias("b"), F.coalesce("anchors", none).alias("anchors"))
+    rule = let(let(sides, marked), ruled)
+    d = p.join(_anchors(p), "seq", "left").select("seq", F.explode(F.array_compact(F.array(rule))).alias("r"))
     g = d.groupBy("r.pattern", "r.replacement", "r.literal").agg(F.min("seq").alias("seq"), F.count("*").alias("pairs"))
     return g.select("pattern", "replacement", "pairs", "seq", F.lit(0).alias("pos"), "literal")
 
