@@ -166,3 +166,19 @@ def test_no_limits_unless_asked(spark):
     assert I.seen_after(old, new).count() == 21_001
     names = spark.range(60).selectExpr("id", "'f' as folder", "'a' as artist", "'t' as title", "concat(id, '.mp3') as filename")
     assert {r["new_name"] for r in I.unique_names(names, ["id"]).collect()} == {"a - t.mp3", *(f"a - t ({i}).mp3" for i in range(2, 61))}
+
+
+def test_store_takes_the_first_of_equal_rows_and_keeps_old_partitions(spark, tmp_path):
+    path = str(tmp_path / "store-keys")
+    rows = lambda *r: spark.createDataFrame(list(r), "seq int, t string")
+    S.upsert_ignore(rows((3, "b"), (1, "a"), (2, "a"), (1, "a")), path, ["t"])
+    S.upsert_ignore(rows((1, "a"), (5, "c"), (4, "b"), (6, "c")), path, ["t"])
+    got = sorted((r["id"], r["data"]) for r in S.read_store(spark, path).collect())
+    assert got == [(1, '{"t":"a"}'), (2, '{"t":"b"}'), (3, '{"t":"c"}')]
+
+
+def test_a_folder_is_written_by_one_task(spark, tmp_path):
+    path = str(tmp_path / "by-url")
+    S.write_by_url(spark.range(40).selectExpr("id", "concat('http://h/', id % 2) AS url").repartition(8), path)
+    files = list((tmp_path / "by-url").glob("*/part-*"))
+    assert len(files) == 2 and spark.read.parquet(path).count() == 40
