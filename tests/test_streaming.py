@@ -106,3 +106,9 @@ def test_store_replays_and_touches_few_partitions(spark, tmp_path):
     assert len({f for f in (tmp_path / "store").rglob("*.parquet")}) <= 256
     S.upsert_ignore(rows(0, 0), str(tmp_path / "none"), ["t"])
     assert S.read_store(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_growth_stop_reads_no_rounds_that_decide_nothing(spark, tmp_path):
+    series = spark.readStream.schema("page_id bigint, round int, height int, nodes int").parquet(str(tmp_path))
+    plan = J.stream_growth_stop(series, max_rounds=3)._jdf.queryExecution().analyzed().toString()
+    assert "<= 3)" in plan

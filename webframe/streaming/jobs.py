@@ -70,7 +70,8 @@ def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page
     """Stop decision per page as soon as it can be made.
 
     State per page is one row of counters and the rounds that came before their turn,
-    which wait until those before them are there; round 0 is the state before. A page
+    which wait until those before them are there; round 0 is the state before. Rounds
+    after ``max_rounds`` decide nothing and are left out, so a page has a few rows. A page
     that sends nothing for ``idle`` is forgotten, so the state does not grow for ever.
     Timers keep a stream going that has read all there is; without ``idle`` it ends.
     """
@@ -110,7 +111,8 @@ def stream_growth_stop(series: DataFrame, max_rounds: int = 8, page: str = "page
         if forget is not None:
             state.setTimeoutDuration(forget)
 
-    return series.groupBy(page).applyInPandasWithState(
+    told = series.where(F.col("round") <= max_rounds)  # the last round that counts decides at the latest
+    return told.groupBy(page).applyInPandasWithState(
         step, _GROWTH_OUT, _GROWTH_STATE, "append", GroupStateTimeout.NoTimeout if forget is None else GroupStateTimeout.ProcessingTimeTimeout
     )
 
