@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -65,3 +66,40 @@ def test_stage_removes_copies_at_similarity_of_0_8(spark, docs):
     rows = [(1, " ".join(base)), (2, " ".join(f"e{i}" if i in (50, 120, 190, 250) else w for i, w in enumerate(base))), (3, " ".join(base[:200] + [f"o{i}" for i in range(100)]))]
     kept = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs(rows).withColumn("lang", F.lit("en")), "")
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def crowded_copies(seed=9):
+    """Short texts of one base: most pairs lie a little below the similarity that links, some edits are shared, some texts are cut."""
+    rng, rows = random.Random(seed), []
+    base = [f"w{i}" for i in range(40)]
+    for k in range(150):
+        text = list(base)
+        for _ in range(1 + k % 3 // 2):
+            text[rng.randrange(40)] = f"e{rng.randrange(12) if k % 4 == 0 else 100 + k}"
+        rows.append((k, " ".join(text[rng.randrange(3):] if k % 5 == 0 else text)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd,seed", [(0, 9), (32, 11)])
+def test_crowded_keys_equal_brute_force(docs, crowd, seed):
+    rows = crowded_copies(seed)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs(rows), crowd=crowd).collect()}
+    assert got == brute(rows) and 100 < len(set(got.values())) < 140
+
+
+def test_pairs_to_compare_do_not_grow_with_the_square_of_a_group(docs, monkeypatch):
+    rng, compared, alike = random.Random(3), [], near_copies._alike
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return alike(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    rows = []
+    for k in range(300):
+        text = [f"w{i}" for i in range(40)]
+        text[rng.randrange(5, 35)] = f"e{k}"
+        rows.append((k, " ".join(text)))
+    got = near_copies.near_copies(docs(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)
+    assert sum(compared) < 30 * len(rows)  # all pairs are 45,000

@@ -7,8 +7,10 @@ minima; two texts of similarity s share a key with probability
 
 Within a key all members are first compared with the smallest one only. Members
 that this leaves in different components are then compared with each other, so
-every two texts that share a key end in one component or are compared, and a
-large group of near copies takes linear work.
+every two texts that share a key end in one component or are compared. In keys
+with more than ``CROWD`` members most of that is settled by counting, see
+``_crowd_pairs``: copies that differ in shingles of their own take linear work,
+whether they link or not.
 
 The links of :mod:`webframe.llm.simhash` (two bits, three words) can be added.
 """
@@ -32,6 +34,10 @@ SIMILARITY = 0.8
 BANDS, ROWS, SEED = 20, 4, 42
 #: Shingles whose hashes are permuted at a time.
 BLOCK = 4096
+#: Members of a key up to which those in different components all meet.
+CROWD = 32
+#: Texts of crowded keys up to which a shingle is rare: those that share one are compared.
+RARE = 8
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)[:, None]
@@ -95,6 +101,48 @@ def _near_size(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
+def _crowd_pairs(members: DataFrame, sets: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+    """``(a, b)`` to compare of ``members(key, code, n, root)``, so that any two of a key that are alike get connected.
+
+    Two texts that share a rare shingle (one of at most *rare* texts) are a pair.
+    Others share common shingles only. Texts with the same common shingles are a
+    class, and its smallest text is like every text that any of the class is
+    like: so members need to meet only the smallest of a class, and a member
+    linked to the smallest of its own need not meet at all. Of two alike texts
+    without a rare shingle in common the smaller one has at most a ninth of rare
+    shingles (at similarity 0.8); a text with that few is linked to the smallest
+    of its class. So only smallest texts with few rare shingles meet the others.
+    """
+    need = similarity / (1 + similarity)  # of both sizes together must be shared
+    nodes = saved(members.select("code", "n", "root").distinct())
+    s = saved(sets.join(nodes, "code"))
+    items = s.select("code", "n", "root", F.explode("items").alias("item"))
+    few = items.groupBy("item").agg(F.count("*").alias("texts")).where(F.col("texts") <= rare)
+    held = saved(items.join(few, "item"))
+    here = held.where("texts > 1").groupBy("item").agg(F.collect_list(F.struct("code", "n", "root")).alias("here"))
+    both = here.select(F.explode("here").alias("p"), "here").select("p", F.explode("here").alias("o"))
+    differ = (F.col("p.code") < F.col("o.code")) & (F.col("p.root") != F.col("o.root"))
+    sharing = both.where(differ & _near_size(F.col("p.n"), F.col("o.n"), similarity)).select(F.col("p.code").alias("a"), F.col("o.code").alias("b"))
+
+    own = held.groupBy("code").agg(F.collect_list("item").alias("own"))
+    common = F.array_except("items", F.coalesce("own", F.array().cast("array<bigint>")))
+    split = s.join(own, "code", "left").select("code", "n", "root", common.alias("common"))
+    split = saved(split.select("code", "n", "root", F.size("common").alias("c"), F.xxhash64("common").alias("class")))
+    least = split.groupBy("class").agg(F.min(F.struct("n", "code", "root")).alias("least"))
+    stars = split.join(least, "class").where(F.col("root") != F.col("least.root")).select(F.col("least.code").alias("a"), F.col("code").alias("b"))
+
+    m = members.select("key", "code").join(split, "code")
+    least = saved(m.groupBy("key", "class").agg(F.min(F.struct("n", "code", "root", "c")).alias("least")))
+    linked = (F.col("c") >= need * (F.col("n") + F.col("least.n")) - 1e-9) | (F.col("root") == F.col("least.root"))
+    loose = m.join(least, ["key", "class"]).where((F.col("code") != F.col("least.code")) & ~linked).select("key", "code", "n", "root", "c")
+    heads = least.select("key", "least.code", "least.n", "least.root", "least.c")
+    small = heads.where(F.col("c") >= 2 * need * F.col("n") - 1e-9)
+    small = small.select("key", F.col("code").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("c").alias("ca"))
+    alike = F.least("c", "ca") >= need * (F.col("n") + F.col("na")) - 1e-9
+    meet = small.join(heads.union(loose), "key").where((F.col("ra") != F.col("root")) & (F.col("na") <= F.col("n")) & alike)
+    return sharing.union(stars).union(meet.select("a", F.col("code").alias("b")))
+
+
 def _print_links(codes: DataFrame) -> DataFrame:
     """``(a, b)`` of ``codes(code, fp)``: texts with one fingerprint, and with fingerprints that SimHash links."""
     named = saved(codes.groupBy("fp").agg(F.min("code").alias("named")))
@@ -106,7 +154,7 @@ def _print_links(codes: DataFrame) -> DataFrame:
 
 
 def near_copies(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, fingerprints: bool = False
+    docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, fingerprints: bool = False, crowd: int = CROWD
 ) -> DataFrame:
     """``doc_id, component_id`` per row of *docs*.
 
@@ -114,7 +162,8 @@ def near_copies(
     reaches *similarity*, and with *fingerprints* also if SimHash links them;
     ``component_id`` is the smallest doc_id that can be reached. Null and empty texts have no shingles and link with each other.
     Repeated rows give a row each; a null doc_id gets a component but names none
-    (a component of nulls only is null). Only key and text are read.
+    (a component of nulls only is null). Only key and text are read. Keys with
+    more than *crowd* members take the way for large groups.
     """
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("code"), F.col(text).alias("text"))
     rows = saved(_banded(d, shingle, fingerprints))
@@ -133,11 +182,17 @@ def near_copies(
     named = keyed.where(F.col("code") != F.col("first.code")).join(rooted, F.col("code") == F.col("node"), "left")
     named = saved(named.select("key", "code", "n", F.coalesce("root", "code").alias("root")))
     parts = named.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
-    open_keys = saved(parts.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main")).where("roots > 1").select("key", "main"))
-    members = named.join(open_keys, "key")
+    parts = parts.agg(F.count("*").alias("roots"), F.sum("size").alias("size"), F.max_by("root", F.struct("size", "root")).alias("main"))
+    open_keys = saved(parts.where("roots > 1").select("key", "main", "size"))
+    members = named.join(open_keys.where(F.col("size") <= crowd).drop("size"), "key")
     outside = members.where(F.col("root") != F.col("main")).select("key", F.col("code").alias("o"), F.col("n").alias("m"), F.col("root").alias("other"))
     meet = outside.join(members, "key").where((F.col("root") != F.col("other")) & _near_size(F.col("n"), F.col("m"), similarity))
-    meet = saved(meet.select(F.least("code", "o").alias("a"), F.greatest("code", "o").alias("b")).distinct())
+    meet = meet.select(F.least("code", "o").alias("a"), F.greatest("code", "o").alias("b"))
+    crowded = saved(named.join(open_keys.where(F.col("size") > crowd).select("key"), "key"))
+    if not crowded.isEmpty():
+        more = _crowd_pairs(crowded, sets, similarity)
+        meet = meet.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    meet = saved(meet.distinct())
     links = links.union(_alike(meet, sets, similarity))
 
     rooted = saved(components(links))
