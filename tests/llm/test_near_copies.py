@@ -103,3 +103,34 @@ def test_pairs_to_compare_do_not_grow_with_the_square_of_a_group(docs, monkeypat
     got = near_copies.near_copies(docs(rows)).collect()
     assert {r.doc_id: r.component_id for r in got} == brute(rows)
     assert sum(compared) < 30 * len(rows)  # all pairs are 45,000
+
+
+def test_copies_of_a_missing_text_meet_a_hub_not_each_other(docs, monkeypatch):
+    """Up to four words in 150 are others: the text of smallest code seldom reaches all that are alike."""
+    rng, compared, alike = random.Random(1), [], near_copies._alike
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return alike(pairs, *args)
+
+    monkeypatch.setattr(near_copies, "_alike", counted)
+    rows = []
+    for k in range(400):
+        text = [f"w{i}" for i in range(150)]
+        for _ in range(rng.randrange(5)):
+            text[rng.randrange(150)] = f"e{k}_{rng.randrange(99)}"
+        rows.append((k, " ".join(text)))
+    got = near_copies.near_copies(docs(rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == brute(rows)
+    assert sum(compared) < 15 * len(rows)  # all pairs are 79,800
+
+
+def test_folded_sets_differ_in_no_more_bits_than_items(spark):
+    rng, pairs = random.Random(4), []
+    for k in range(60):
+        both = [rng.getrandbits(64) - 2**63 for _ in range(rng.randrange(200))]
+        pairs.append((both + [rng.getrandbits(64) - 2**63 for _ in range(k)], both + [rng.getrandbits(64) - 2**63 for _ in range(k // 2)]))
+    d = spark.createDataFrame(pairs, "x array<bigint>, y array<bigint>").select("x", "y", near_copies._folded("x").alias("fx"), near_copies._folded("y").alias("fy"))
+    for r in d.collect():
+        bits, items = sum((a ^ b).bit_count() if a ^ b >= 0 else ((a ^ b) + 2**64).bit_count() for a, b in zip(r.fx, r.fy, strict=True)), len(set(r.x) ^ set(r.y))
+        assert bits <= items and bits >= items / 2 and len(r.fx) == near_copies.WORDS

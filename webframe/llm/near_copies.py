@@ -9,7 +9,7 @@ Within a key all members are first compared with the smallest one only. Members
 that this leaves in different components are then compared with each other, so
 every two texts that share a key end in one component or are compared. In keys
 with more than ``CROWD`` members most of that is settled by counting, see
-``_crowd_pairs``: copies that differ in shingles of their own take linear work,
+``_crowd_links``: copies that differ in shingles of their own take linear work,
 whether they link or not.
 
 The links of :mod:`webframe.llm.simhash` (two bits, three words) can be added.
@@ -38,6 +38,8 @@ BLOCK = 4096
 CROWD = 32
 #: Texts of crowded keys up to which a shingle is rare: those that share one are compared.
 RARE = 8
+#: Longs that a text's common shingles are folded to; a power of two.
+WORDS = 4
 
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 2**64, BANDS * ROWS, np.uint64)[:, None]
@@ -101,10 +103,25 @@ def _near_size(n: Column, m: Column, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
 
 
-def _crowd_pairs(members: DataFrame, sets: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
-    """``(a, b)`` to compare of ``members(key, code, n, root)``, so that any two of a key that are alike get connected.
+def _folded(items: str) -> Column:
+    """``WORDS`` longs in which every item of the array flips one bit; two sets differ in at least as many items as these differ in bits."""
+    place = lambda x: F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+    one = lambda i: F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.when(place(x) == i, bit(x)).otherwise(F.lit(0).cast("long"))))
+    return F.array(*[one(i) for i in range(WORDS)])
 
-    Two texts that share a rare shingle (one of at most *rare* texts) are a pair.
+
+def _may_match(a: str, b: str, need: float) -> Column:
+    """Whether the structs of two texts allow *need* of their sizes to be shared in common shingles."""
+    both = need * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    apart = sum((F.bit_count(F.get(f"{a}.bits", F.lit(i)).bitwiseXOR(F.get(f"{b}.bits", F.lit(i)))) for i in range(WORDS)), F.lit(0))
+    return (F.least(f"{a}.c", f"{b}.c") >= both - 1e-9) & (apart <= F.col(f"{a}.c") + F.col(f"{b}.c") - 2 * both + 1e-9)
+
+
+def _crowd_links(members: DataFrame, sets: DataFrame, similarity: float, rare: int = RARE) -> DataFrame:
+    """Alike ``(a, b)`` of ``members(key, code, n, root)``, so that any two of a key that are alike get connected.
+
+    Two texts that share a rare shingle (one of at most *rare* texts) are compared.
     Others share common shingles only. Texts with the same common shingles are a
     class, and its smallest text is like every text that any of the class is
     like: so members need to meet only the smallest of a class, and a member
@@ -112,11 +129,18 @@ def _crowd_pairs(members: DataFrame, sets: DataFrame, similarity: float, rare: i
     without a rare shingle in common the smaller one has at most a ninth of rare
     shingles (at similarity 0.8); a text with that few is linked to the smallest
     of its class. So only smallest texts with few rare shingles meet the others.
+
+    First the members of a key meet its hub, the text with the fewest rare
+    shingles for its size. What that leaves apart meets by count and by folded
+    bits of the common shingles: pairs that these rule out are not compared, and
+    two texts of a key's largest component do not meet.
     """
     need = similarity / (1 + similarity)  # of both sizes together must be shared
     nodes = saved(members.select("code", "n", "root").distinct())
     s = saved(sets.join(nodes, "code"))
-    items = s.select("code", "n", "root", F.explode("items").alias("item"))
+    # the few files of s would be few tasks
+    dealt = s.repartition(int(s.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items = dealt.select("code", "n", "root", F.explode("items").alias("item"))
     few = items.groupBy("item").agg(F.count("*").alias("texts")).where(F.col("texts") <= rare)
     held = saved(items.join(few, "item"))
     here = held.where("texts > 1").groupBy("item").agg(F.collect_list(F.struct("code", "n", "root")).alias("here"))
@@ -127,20 +151,36 @@ def _crowd_pairs(members: DataFrame, sets: DataFrame, similarity: float, rare: i
     own = held.groupBy("code").agg(F.collect_list("item").alias("own"))
     common = F.array_except("items", F.coalesce("own", F.array().cast("array<bigint>")))
     split = s.join(own, "code", "left").select("code", "n", "root", common.alias("common"))
-    split = saved(split.select("code", "n", "root", F.size("common").alias("c"), F.xxhash64("common").alias("class")))
+    split = saved(split.select("code", "n", "root", F.size("common").alias("c"), F.xxhash64("common").alias("class"), _folded("common").alias("bits")))
     least = split.groupBy("class").agg(F.min(F.struct("n", "code", "root")).alias("least"))
     stars = split.join(least, "class").where(F.col("root") != F.col("least.root")).select(F.col("least.code").alias("a"), F.col("code").alias("b"))
-
-    m = members.select("key", "code").join(split, "code")
-    least = saved(m.groupBy("key", "class").agg(F.min(F.struct("n", "code", "root", "c")).alias("least")))
+    m = saved(members.select("key", "code").join(split, "code"))
+    text = F.struct("n", "code", "root", "c", "bits")
+    hubs = m.groupBy("key").agg(F.max_by(text, F.struct(F.col("c") - need * F.col("n"), "code")).alias("hub"))
+    hubs = m.select("key", text.alias("o")).join(hubs, "key").where((F.col("o.root") != F.col("hub.root")) & _may_match("hub", "o", need))
+    hubs = hubs.select(F.col("hub.code").alias("a"), F.col("o.code").alias("b"))
+    pairs = sharing.union(stars).union(hubs).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = saved(_alike(saved(pairs.distinct()), sets, similarity))
+
+    named = nodes.select("code", "root")
+    ends = links.join(named.toDF("a", "ra"), "a").join(named.toDF("b", "rb"), "b")
+    now = saved(components(ends.select(F.col("ra").alias("a"), F.col("rb").alias("b")))).toDF("root", "now")
+    m = m.join(now, "root", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
+    main = m.groupBy("key", "root").agg(F.count("*").alias("size")).groupBy("key")
+    main = main.agg(F.count("*").alias("roots"), F.max_by("root", F.struct("size", "root")).alias("main")).where("roots > 1").drop("roots")
+    m = saved(m.join(main, "key").withColumn("inside", F.col("root") == F.col("main")).drop("main"))
+    least = saved(m.groupBy("key", "class").agg(F.min(F.struct("n", "code", "root", "c", "bits", "inside")).alias("least")))
     linked = (F.col("c") >= need * (F.col("n") + F.col("least.n")) - 1e-9) | (F.col("root") == F.col("least.root"))
-    loose = m.join(least, ["key", "class"]).where((F.col("code") != F.col("least.code")) & ~linked).select("key", "code", "n", "root", "c")
-    heads = least.select("key", "least.code", "least.n", "least.root", "least.c")
-    small = heads.where(F.col("c") >= 2 * need * F.col("n") - 1e-9)
-    small = small.select("key", F.col("code").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.col("c").alias("ca"))
-    alike = F.least("c", "ca") >= need * (F.col("n") + F.col("na")) - 1e-9
-    meet = small.join(heads.union(loose), "key").where((F.col("ra") != F.col("root")) & (F.col("na") <= F.col("n")) & alike)
-    return sharing.union(stars).union(meet.select("a", F.col("code").alias("b")))
+    o = F.struct("n", "code", "root", "c", "bits", "inside").alias("o")
+    loose = m.join(least, ["key", "class"]).where((F.col("code") != F.col("least.code")) & ~linked).select("key", o)
+    heads = least.select("key", F.col("least").alias("o"))
+    small = heads.where(F.col("o.c") >= 2 * need * F.col("o.n") - 1e-9).withColumnRenamed("o", "p")
+    # texts inside meet those outside, texts outside meet all
+    small = small.select("key", "p", F.explode(F.when(F.col("p.inside"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("inside"))
+    others = heads.union(loose).select("key", F.col("o.inside").alias("inside"), "o")
+    meet = small.join(others, ["key", "inside"]).where((F.col("p.root") != F.col("o.root")) & (F.col("p.n") <= F.col("o.n")) & _may_match("p", "o", need))
+    meet = meet.select(F.least("p.code", "o.code").alias("a"), F.greatest("p.code", "o.code").alias("b"))
+    return links.union(_alike(saved(meet.distinct()), sets, similarity))
 
 
 def _print_links(codes: DataFrame) -> DataFrame:
@@ -188,12 +228,10 @@ def near_copies(
     outside = members.where(F.col("root") != F.col("main")).select("key", F.col("code").alias("o"), F.col("n").alias("m"), F.col("root").alias("other"))
     meet = outside.join(members, "key").where((F.col("root") != F.col("other")) & _near_size(F.col("n"), F.col("m"), similarity))
     meet = meet.select(F.least("code", "o").alias("a"), F.greatest("code", "o").alias("b"))
+    links = links.union(_alike(saved(meet.distinct()), sets, similarity))
     crowded = saved(named.join(open_keys.where(F.col("size") > crowd).select("key"), "key"))
     if not crowded.isEmpty():
-        more = _crowd_pairs(crowded, sets, similarity)
-        meet = meet.union(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    meet = saved(meet.distinct())
-    links = links.union(_alike(meet, sets, similarity))
+        links = links.union(_crowd_links(crowded, sets, similarity))
 
     rooted = saved(components(links))
     by_code = codes.join(rooted, codes["code"] == rooted["node"], "left").select("code", F.coalesce("root", "code").alias("root"), "smallest")
