@@ -212,6 +212,16 @@ def test_uniqueness_inside_an_item_deeper_than_twelve_levels(page):
     assert any(s.startswith("div.q") for s in found)
 
 
+def test_uniqueness_of_a_leaf_that_keeps_its_place_deeper_than_twelve_levels(page):
+    """Wrappers without class, id and title are no places to move up to."""
+    deep = "<div>" * 14 + "<b class='x'>one {0}</b>" + "</div>" * 14
+    row = lambda i: f"<li><p class='t'>Title of {i}</p>{deep.format(i)}<div class='q'>{deep.format(i)}</div></li>"
+    nodes = nodes_of(page, "<html><body><ul>" + "".join(map(row, range(4))) + "</ul></body></html>")
+    cands = D.list_candidates(nodes).where("rank = 1")
+    found = [f["selector"] for f in D.infer_fields(cands, nodes).collect() if f["selector"].endswith("b.x")]
+    assert len(found) == 2 and [s.startswith("div.q") for s in found] == [False, True]
+
+
 def test_discovery_broadcasts_no_elements(page):
     """Tables of elements compress so well that Spark broadcast them by the size of their files."""
     item = "<li class='{0}'><a href='/x'>Title of item</a></li>"
