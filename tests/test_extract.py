@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from webframe.operators import selectors as S
 from webframe.operators.extract import apply_transforms, extract_dom, finish_rows, node_columns, node_tags, transform_type, validate_items
 from webframe.operators.rules import Field, Rule, read_rules, rule_from_row, validate_rules
 from webframe.operators.selectors import SelectorError, parse
@@ -119,3 +121,17 @@ def test_validate_items_compares_integers_without_casting(spark):
     assert sorted(r["seq"] for r in errors.collect()) == [2, 4, 6]
     # a try_cast that fails costs an exception a row
     assert "try_cast" not in errors._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_items_above_an_element_are_worked_out_once_and_by_segments(spark, page):
+    html = "<div class='card'><a:b class='t'>n</a:b><div class='card x'><a class='t' href='/1'>one</a><a.b class='t'>m</a.b></div></div>"
+    nodes = html_nodes(page(html), ["node_id", "depth", "tag", "path", "anc_ids", "attrs", "own_text", "text"]).cache()
+    for sel in ("div.card", "a.t", ".t", "div > a", "div.x .t", "a, .card", ":is(a, div)", "//div[@class='card']/a", "div:nth-of-type(1)"):
+        for parsed in S.parse(sel):
+            both = nodes.select("path", S.path_hit(parsed, F.col("path")).alias("new"), F.col("path").rlike(S.path_regex(parsed)).alias("old")).collect()
+            assert all(r["new"] == r["old"] for r in both), (sel, both)
+    rule = Rule("div.card", (Field("t", "a.t"), Field("first", ".t")))
+    out = extract_dom(nodes, rule)
+    assert sorted((r["t"], r["first"]) for r in out.collect()) == [("n", "n"), ("one", "one")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(path") == 1, plan
