@@ -230,3 +230,27 @@ def test_discovery_broadcasts_no_elements(page):
     assert "Broadcast" not in plan(D.list_candidates(nodes, merge=True))
     assert "Broadcast" not in plan(D.list_candidates(nodes, scope="nav"))
     assert "Broadcast" not in plan(D.unique_selector(nodes, nodes.where("tag = 'ul'")))
+
+
+def test_groups_are_counted_once_and_only_depths_of_rows_are_looked_at(page, monkeypatch):
+    plans, cut = [], D.cut
+    monkeypatch.setattr(D, "cut", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    html = "<div class='g'>" + "".join(f"<div class='r'><p><b class='k'>key {i}</b></p><{t} class='v x'>value {i}</{t}></div>" for i, t in enumerate(["a", "div", "a", "div"])) + "</div>"
+    nodes = nodes_of(page, html)
+    cands = D.list_candidates(nodes).where("rank = 1")
+    fields = D.infer_fields(cands, nodes)
+    before = len(plans)
+    got = {(f["name"], f["selector"]) for f in D.fix_field_coverage(fields, cands, nodes).collect()}
+    assert ("v", ":scope > :is(a,div).v.x") in got or ("x", ":scope > :is(a,div).v.x") in got, got
+    assert max(p.count("array_sort(") for p in plans[:before]) == 1
+    assert not any("explode(anc_ids" in p for p in plans[before:])
+
+
+def test_names_of_a_path_are_those_of_its_segments(spark):
+    paths = ["html:1!/body:1!/div#a.b.c%2Ed:2", "html:1!", "html:1!/a:b.x:1!/p#i:1!", "html:1!/a.b#c.d:1!/x#y#z.w:3/td#q:1", "html:1!/b.#k:1!"]
+    d = spark.createDataFrame([(p,) for p in paths], "path string")
+    old = F.transform(D._segments(F.col("path")), lambda s: F.concat(F.array(s["tag"]), s["cls"]))
+    rows = d.select(old.alias("old"), D._names(F.col("path")).alias("names"), D._path_tokens(F.col("path")).alias("toks")).collect()
+    for r in rows:
+        assert r["names"] == r["old"]
+        assert [[s[0], *("." + c for c in s[1:])] for s in r["old"]] == r["toks"]
